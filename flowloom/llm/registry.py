@@ -7,7 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe, read_ranks
+from .histogram_sort import even_key, histogram_shards
 from .shared import table
+from .source_mix import source_mix
+
+
+def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes. Null texts have 16 bytes and the checksum of no text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), F.octet_length(text).alias("_bytes"), even_key(F.col("doc_id"), text).alias("_place"))
+    sharded = histogram_shards(docs, F.col("_place"), F.col("_bytes") + 16, 40)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +27,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe,)}
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed from all sources; how many words of each the mix takes."""
+    rows, _ = source_mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op6_histogram_sort, op7_byte_bpe, op10_source_mix)}
 ORACLES: dict[str, str] = {}
