@@ -8,8 +8,28 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe, read_ranks
 from .histogram_sort import even_key, histogram_shards
+from .license_scan import license_spans
 from .shared import table
 from .source_mix import source_mix
+from .toxicity import THRESHOLD, doc_bucket, toxicity, train
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score by a classifier that saw labels of two thirds of the ids only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), doc_bucket(F.col("doc_id"), 3) != 1)
+    scored = toxicity(docs, model)
+    held = F.coalesce(doc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text; phrases by their places, longer notices if most of them is there."""
+    spans = license_spans(table(spark, sf_dir, "documents"))
+    exact = lambda c: F.when(F.col("exact"), F.col(c))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  a handful of labels
+    found = spans.groupBy("_row", "doc_id", "n_words").agg(F.count_if("exact").alias("n_base"), F.min(exact("first_word")).alias("first_word"), F.max(exact("first_word")).alias("last_word"), joined(exact("label")).alias("base_labels"), joined("label").alias("labels"), F.coalesce(F.max("covered"), F.lit(0.0)).alias("score"))
+    return found.drop("_row")
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +53,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op6_histogram_sort, op7_byte_bpe, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_license_scan, op6_histogram_sort, op7_byte_bpe, op10_source_mix)}
 ORACLES: dict[str, str] = {}
