@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_bpe, read_ranks
 from .histogram_sort import even_key, histogram_shards
 from .license_scan import license_spans
+from .ngram_join import ngram_join
 from .shared import table
 from .source_mix import source_mix
+from .suffix_dedup import suffix_dedup
 from .toxicity import THRESHOLD, doc_bucket, toxicity, train
 
 
@@ -32,6 +34,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_row")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by sets of 4-word shingles of Jaccard similarity 0.85 or more, and the groups these links make."""
+    return ngram_join(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes. Null texts have 16 bytes and the checksum of no text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -47,11 +54,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 50-byte strings of documents with smaller ids."""
+    kept = suffix_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed from all sources; how many words of each the mix takes."""
     rows, _ = source_mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_license_scan, op6_histogram_sort, op7_byte_bpe, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_license_scan, op5_ngram_join, op6_histogram_sort, op7_byte_bpe, op8_suffix_dedup, op10_source_mix)}
 ORACLES: dict[str, str] = {}
