@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe, read_ranks
+from .embedding_join import embedding_join
 from .histogram_sort import even_key, histogram_shards
 from .license_scan import license_spans
+from .maxscore import maxscore
 from .ngram_join import ngram_join
 from .shared import table
 from .source_mix import source_mix
@@ -16,6 +18,11 @@ from .suffix_dedup import suffix_dedup
 from .toxicity import THRESHOLD, doc_bucket, toxicity, train
 
 
+def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector with all others."""
+    return maxscore(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's score by a classifier that saw labels of two thirds of the ids only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,11 +67,45 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.95 or more, and the groups these links make."""
+    return embedding_join(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed from all sources; how many words of each the mix takes."""
     rows, _ = source_mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_license_scan, op5_ngram_join, op6_histogram_sort, op7_byte_bpe, op8_suffix_dedup, op10_source_mix)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_maxscore, op3_toxicity, op4_license_scan, op5_ngram_join, op6_histogram_sort, op7_byte_bpe, op8_suffix_dedup, op9_embedding_join, op10_source_mix)}
+ORACLES: dict[str, str] = {
+    "op2_maxscore": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20
+    """,
+    "op9_embedding_join": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+             r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+             n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+    """,
+    "op5_ngram_join": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM t),
+             x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM g),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (total - shared)),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM g JOIN c USING (doc_id)
+    """,
+}
