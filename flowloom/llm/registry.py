@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_bpe, read_ranks
 from .embedding_join import embedding_join
 from .histogram_sort import even_key, histogram_shards
+from .lattice_lm import lattice_scores, read_pieces
 from .license_scan import license_spans
 from .maxscore import maxscore
 from .ngram_join import ngram_join
@@ -18,6 +19,14 @@ from .suffix_dedup import suffix_dedup
 from .toxicity import THRESHOLD, doc_bucket, toxicity, train
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability by words and by subword lattices, learned from nine tenths of the ids."""
+    learn = doc_bucket(F.col("doc_id"), 10) != 0
+    scored = lattice_scores(table(spark, sf_dir, "documents"), learn, read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    held = F.coalesce(doc_bucket(F.col("doc_id"), 10) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every 20th vector with all others."""
     return maxscore(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -78,7 +87,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_maxscore, op3_toxicity, op4_license_scan, op5_ngram_join, op6_histogram_sort, op7_byte_bpe, op8_suffix_dedup, op9_embedding_join, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_maxscore, op3_toxicity, op4_license_scan, op5_ngram_join, op6_histogram_sort, op7_byte_bpe, op8_suffix_dedup, op9_embedding_join, op10_source_mix)}
 ORACLES: dict[str, str] = {
     "op2_maxscore": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings

@@ -84,7 +84,7 @@ def running_sum(df: DataFrame, part: list[str], order: list[str], fine: Column,
     return own.join(base, [*part, "_cell"]).withColumn(out, F.col(out) + F.col("_base")).drop("_cell", "_value", "_base")
 
 
-def cells_for(rows: int, least: int = 4) -> int:
+def cells_for(rows: int, least: int = 32) -> int:
     """A power of two of cells for so many rows."""
     return 1 << max(rows // CELL_ROWS, least - 1).bit_length()
 
