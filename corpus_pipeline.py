@@ -1,8 +1,89 @@
-"""The corpus pipeline (stages follow)."""
+"""From documents to token ids: toxic documents go, near copies go, repeated passages go, sources are mixed to their
+weights, and what stays is encoded and decoded.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the folder of
+``spark.checkpoint.dir`` and reads it as the next stage's documents. All but the last return the columns of documents,
+and leave other columns behind.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.llm import ngram_join as near
+from flowloom.llm import source_mix as mix
+from flowloom.llm.byte_bpe import byte_bpe, read_ranks
+from flowloom.llm.shared import materialize, table
+from flowloom.llm.suffix_dedup import suffix_dedup
+from flowloom.llm.toxicity import THRESHOLD, doc_bucket, toxicity, train
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle and percent of similarity of near copies.
+SHINGLE, SIMILAR = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score under the threshold; null and empty texts score the model's bias alone."""
+    docs = docs.select(*COLUMNS)
+    model = train(docs, table(spark, sf_dir, "labels"), doc_bucket(F.col("doc_id"), 3) != 1)
+    return toxicity(docs, model, out="_toxicity").where(F.col("_toxicity") < THRESHOLD).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one row, that with the smallest id. Wordless and null texts are in no group: all stay."""
+    docs = docs.select(*COLUMNS)
+    groups = near.ngram_join(docs, SHINGLE, SIMILAR).where("component is not null")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("_first"))
+    chosen = docs.withColumn("_row", near.row_hash("doc_id", "text")).join(first.select(F.col("_first.row").alias("_row")), "_row", "left_semi")
+    wordless = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return chosen.dropDuplicates(["_row"]).select(*COLUMNS).unionByName(wordless)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without the passages that rows with smaller ids have; characters cut in two go whole. A null
+    text stays null; n_chars counts what stays."""
+    docs = docs.select(*COLUMNS)
+    kept = suffix_dedup(docs.withColumn("_null", F.col("text").isNull()), keep=("lang", "source", "n_chars", "_null"), characters=True)
+    kept = kept.withColumn("text", F.when(~F.col("_null"), F.col("kept").cast("string")))
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text as often as the mix takes it whole, and once more its first words if the mix's last round ends in it
+    (with single spaces between them). Rows of which the mix takes nothing go; equal rows are mixed as one."""
+    docs = docs.select(*COLUMNS)
+    rows, _ = mix.source_mix(docs)
+    taken = rows.groupBy("row").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
+    met = docs.withColumn("row", mix.row_hash("doc_id", "source", "text")).join(taken, "row").dropDuplicates(["row"])
+    each = met.withColumn("_left", F.explode(F.expr("transform(sequence(0L, (_taken - 1) div _size), k -> least(_size, _taken - k * _size))")))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    part = F.array_join(F.slice(words, 1, F.col("_left").cast("int")), " ")
+    text = F.when(F.col("_left") == F.col("_size"), F.col("text")).otherwise(part)
+    return each.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (base64 of little-endian unsigned 32-bit integers), ids_sha256, decoded_sha256."""
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = byte_bpe(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.base64("ids").alias("ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_repeats),
+    ("source mix", mix_sources),
+    ("byte-level BPE", encode),
+]
+#: The stages hash, fit and sort in ways that SQL has not; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

@@ -23,7 +23,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize, small_batches, spark_schema, text_bytes
@@ -116,18 +116,23 @@ class Pieces:
         return np.concatenate(out)
 
 
+def row_hash(doc: str, text: str) -> Column:
+    """What rows are told apart by."""
+    return F.xxhash64(F.col(doc).cast("long"), F.col(text).cast("string"))
+
+
 def _classes(docs: DataFrame, text: str, doc: str, n: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cls (null without words) of every row."""
+    """doc_id, row (a hash of id and text), n_shingles, cls (null without words) of every row."""
 
     def run(batches):
         shingles = Shingler(n)
         for batch in batches:
             found = [shingles(t) for t in text_bytes(batch.column(0))]
             columns = [*batch.columns[1:], pa.array([len(s) for s in found], pa.int64()), pa.array([class_of(s) if len(s) else None for s in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "cls"])
 
     source = docs.select(docs[text].cast("string").alias("_text"), docs[doc].cast("long").alias("doc_id"))
-    return source.withColumn("text_hash", F.xxhash64("_text")).select("_text", "doc_id", "text_hash").mapInArrow(run, spark_schema(doc_id="long", text_hash="long", n_shingles="long", cls="long"))
+    return source.select("_text", "doc_id", row_hash("doc_id", "_text").alias("row")).mapInArrow(run, spark_schema(doc_id="long", row="long", n_shingles="long", cls="long"))
 
 
 def _meetings(docs: DataFrame, text: str, n: int, share: int) -> DataFrame:
@@ -195,8 +200,9 @@ def _links(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, n: int, share: int, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs: texts are linked where 100 * intersection >= share * union
-    of their sets of n-grams; component_id is the smallest id that links lead to, the row's own included.
+    """doc_id, n_shingles, component_id, row, component of every row of docs: texts are linked where 100 * intersection >=
+    share * union of their sets of n-grams; component_id is the smallest id that links lead to, the row's own included.
+    row is row_hash of the row, component a number of its group, null without words.
 
     Null and wordless texts have n_shingles 0, are linked with nothing and keep their own id. Repeated rows and equal
     sets are linked with each other. Null ids stay null unless a linked row has an id. An empty table stays empty.
@@ -210,9 +216,8 @@ def ngram_join(docs: DataFrame, n: int, share: int, text: str = "text", doc: str
 
     # the sets of the classes that met others, from one text each
     met = crowds.select("cls").distinct()
-    one = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct("text_hash", "doc_id")).alias("_one")).join(met, "cls", "left_semi").select("_one.*")
-    texts = docs.select(docs[text].cast("string").alias("_text"), docs[doc].cast("long").alias("_doc")).withColumn("_hash", F.xxhash64("_text"))
-    texts = texts.join(one.distinct(), (F.col("_hash") == F.col("text_hash")) & F.col("_doc").eqNullSafe(F.col("doc_id"))).select("_text")
+    one = rows.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row")).join(met, "cls", "left_semi").select("row")
+    texts = docs.select(docs[text].cast("string").alias("_text"), row_hash(doc, text).alias("row")).join(one, "row", "left_semi").select("_text")
 
     def cut(batches):
         shingles, edges = Shingler(n), np.arange(1, VERTICAL, dtype=np.uint64) * np.uint64((1 << 64) // VERTICAL)
@@ -242,4 +247,4 @@ def ngram_join(docs: DataFrame, n: int, share: int, text: str = "text", doc: str
 
     own = rows.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
-    return own.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    return own.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), "row", "component")

@@ -52,7 +52,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by sets of 4-word shingles of Jaccard similarity 0.85 or more, and the groups these links make."""
-    return ngram_join(table(spark, sf_dir, "documents"), 4, 85)
+    return ngram_join(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

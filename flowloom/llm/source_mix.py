@@ -27,6 +27,11 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def row_hash(doc: str, source: str, text: str) -> Column:
+    """What rows are told apart by, and shuffled by."""
+    return F.xxhash64(F.col(doc), F.col(source), F.col(text))
+
+
 def targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     """sizes (src_null, src, source_size) with target: sources by code point, null last, weigh 1, 2, 3, repeating, and
     share the sum of all sizes by weight; none gets over ``most`` times its size, the excess is shared by weight again.
@@ -62,15 +67,15 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
 
 
 def source_mix(docs: DataFrame, source: str = "source", text: str = "text", doc: str = "doc_id", most: float = 3.0, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(rows, slots). rows: one for each row of docs with doc, size, source_size, target, taken (words the mix takes of it,
+    """(rows, slots). rows: one for each row of docs with doc_id, row (its hash), size, source_size, target, taken (words the mix takes of it,
     repeats counted). slots: the mix itself, src_null, src, position, rank, epoch, block.
 
     Null sources are one source, the last. Texts without words (null too) have size 0 and are never taken; a source of
     such texts has target 0. Rows with equal values get an order of their own; equal texts are spread by their ids.
     An empty table gives empty ones. No row is taken beyond ``most`` times its size.
     """
-    key = F.shiftrightunsigned(F.xxhash64(F.col(doc), F.col(text)), 64 - KEY_BITS)
-    slim = materialize(docs.select(F.col(doc).alias("doc_id"), F.col(source).isNull().alias("src_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), count_words(F.col(text)).alias("size"), key.alias("_key")))
+    row = row_hash(doc, source, text)
+    slim = materialize(docs.select(F.col(doc).alias("doc_id"), row.alias("row"), F.col(source).isNull().alias("src_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), count_words(F.col(text)).alias("size"), F.shiftrightunsigned(row, 64 - KEY_BITS).alias("_key")))
     rows = slim.count()
     plan = materialize(targets(slim.groupBy("src_null", "src").agg(F.sum("size").alias("source_size")), most))
     # equal blocks: the first (source_size mod n_blocks) hold a word more
@@ -89,7 +94,7 @@ def source_mix(docs: DataFrame, source: str = "source", text: str = "text", doc:
     first_word = "(block * _words + least(block, _longer))"
     pieces = laid.withColumn("_end", F.col("_start") + F.col("size")).withColumn("block", F.explode(F.expr(f"sequence({block_of.format('_start')}, {block_of.format('(_end - 1)')})")))
     pieces = pieces.withColumn("_overlap", F.expr(f"least(_end, {first_word} + _words + if(block < _longer, 1, 0)) - greatest(_start, {first_word})"))
-    taken = pieces.join(times, [*by, "block"], "left").groupBy(*by, "_start", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("_overlap") * F.coalesce("_times", F.lit(0))).cast("long").alias("taken"))
+    taken = pieces.join(times, [*by, "block"], "left").groupBy(*by, "_start", "doc_id", "row", "size", "source_size", "target").agg(F.sum(F.col("_overlap") * F.coalesce("_times", F.lit(0))).cast("long").alias("taken"))
     none = slim.where("size = 0").join(plan.select(*by, "source_size", "target"), by).withColumn("taken", F.lit(0).cast("long"))
-    out = ["doc_id", *by, "size", "source_size", "target", "taken"]
+    out = ["doc_id", "row", *by, "size", "source_size", "target", "taken"]
     return taken.select(out).unionByName(none.select(out)), mix

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngram_join import mix
 from .shared import materialize, pack, spark_schema, text_bytes, unpack
@@ -312,26 +313,25 @@ def _factors(length: int):
     return run
 
 
-def _finish(shares: int):
-    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+def _finish(keep: list[str], characters: bool):
+    names = ("n_bytes", "n_removed", "n_spans", "kept")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        tables = []
         for blob in left.column("blob").to_pylist():
             rows = unpack(blob)
-            ids = rows.column(1).fill_null(_NO_ID).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            docs, starts, ends = ([], [], [])
+            order = np.argsort(rows.column(1).fill_null(_NO_ID).to_numpy(), kind="stable")
+            docs, starts, ends, out = [], [], [], []
             group = place = begin = np.empty(0, np.int64)
             for state in right.column("state").drop_null():
                 d, s, e, group, place, begin = _unsqueeze(state.as_py())
                 for column, x in zip((docs, starts, ends), (d, s, e), strict=True):
                     column.append(x.view("<i4").astype(np.int64))
                 group, place, begin = group.view("<i8"), place.view("<i4").astype(np.int64), begin.view("<i4").astype(np.int64)
+            by = np.argsort(group, kind="stable")
             for found in right.column("found").drop_null():
                 g, a, b = _unsqueeze(found.as_py())[0].view("<i8").reshape(-1, 3).T
-                by = np.argsort(group, kind="stable")
                 low, high = np.searchsorted(group[by], g), np.searchsorted(group[by], g, "right")
                 many = high - low
                 which = by[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
@@ -342,28 +342,33 @@ def _finish(shares: int):
             by = np.argsort(docs, kind="stable")
             docs, starts, ends = docs[by], starts[by], ends[by]
             edges = np.searchsorted(docs, np.arange(len(order) + 1))
-            texts = rows.column(0)
-            for k, i in enumerate(order):
-                text = (texts[i].as_py() or "").encode() if not pa.types.is_binary(texts.type) else texts[i].as_py() or b""
+            for k, text in enumerate(text_bytes(rows.column(0).combine_chunks().take(pa.array(order)))):
                 a, b = _merge(starts[edges[k] : edges[k + 1]], ends[edges[k] : edges[k + 1]])
                 kept = b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True))
-                out.append((None if ids[i] == _NO_ID and not rows.column(1)[i].is_valid else int(ids[i]), len(text), len(text) - len(kept), len(a), kept))
-        return pa.Table.from_batches([_rows(out, types, names)])
+                removed = len(text) - len(kept)
+                if characters and removed:
+                    kept = kept.decode("utf-8", "ignore").encode()
+                out.append((len(text), removed, len(a), kept))
+            same = rows.select(keep).take(pa.array(order)).combine_chunks()
+            tables.append(pa.table([*same.columns, *[pa.array([r[i] for r in out], t) for i, t in enumerate(types)]], [*keep, *names]))
+        return pa.concat_tables(tables)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) of every row of docs.
+def suffix_dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", keep: tuple[str, ...] = (), length: int = LENGTH, characters: bool = False) -> DataFrame:
+    """doc_id, the columns of keep, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) of every row of docs.
 
     A byte goes if a string of ``length`` bytes covers it that also starts in a row with a smaller id. Rows with the
     same id do not remove from each other; null ids come last. Null texts count as empty; texts shorter than ``length``
-    stay whole. What stays need not be valid UTF-8 at the cuts. An empty table stays empty; columns of docs other than
-    the two are not read. Chunks with one text longer than their size hold that text alone.
+    stay whole. What stays need not be valid UTF-8 at the cuts, unless ``characters`` asks for characters cut in two to go. An empty table stays empty; columns of docs other than
+    those named are not read. Chunks with one text longer than their size hold that text alone.
     """
     if length != LENGTH:
         raise ValueError(f"anchors are chosen for {LENGTH} bytes")
-    chunks = materialize(pack(docs.select(docs[text].cast("string").alias("text"), docs[doc].cast("long").alias("doc_id")), "text", ["doc_id"]), "none")
+    slim = docs.select(docs[text].cast("string").alias("_text"), docs[doc].cast("long").alias("doc_id"), *keep)
+    others = ["doc_id", *keep]
+    chunks = materialize(pack(slim, "_text", others), "none")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     spark = docs.sparkSession
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE_BYTES))
@@ -374,5 +379,5 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", lengt
     sent = marked.where("sent is not null").select("chunk", "share", "sent")
     found = sent.groupBy("share").applyInArrow(_factors(length), spark_schema(chunk="long", state="binary", found="binary"))
     known = marked.where("state is not null").select("chunk", "state", F.lit(None).cast("binary").alias("found")).union(found)
-    return blobs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_finish(shares), spark_schema(doc_id="long", n_bytes="long", n_removed="long", n_spans="long", kept="binary"))
-
+    schema = T.StructType(slim.select(*others).schema.fields + spark_schema(n_bytes="long", n_removed="long", n_spans="long", kept="binary").fields)
+    return blobs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_finish(others, characters), schema)
