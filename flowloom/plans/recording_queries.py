@@ -1,0 +1,212 @@
+"""Queries of the catalog operators, over orders, customer, events and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from flowloom.operators import recordings as r
+from flowloom.plans.catalog import query, table
+from flowloom.plans.log_queries import SQL_SIZE, events
+
+
+def cents(c):
+    return F.round(F.col(c) * 100).cast("long")
+
+
+@query("""WITH o AS (SELECT o_custkey + 500 AS k, max(o_orderstatus) AS s, max(o_orderkey) AS l FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+    SELECT coalesce(c_custkey, k) AS recording_id, c_name AS name, coalesce(s, c_mktsegment) AS status, l AS session_id, array_to_string(CASE WHEN k IS NULL THEN [1] WHEN c_custkey IS NULL THEN [0] ELSE [0, 1] END, ',') AS found_in FROM customer FULL JOIN o ON c_custkey = k""")
+def catalog_full_outer(spark, sf_dir):
+    logs = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy((F.col("o_custkey") + 500).alias("recording_id")).agg(F.max("o_orderstatus").alias("status"), F.max("o_orderkey").alias("session_id"))
+    listed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
+    return r.merge_catalog([logs, listed], ["recording_id"], ["name", "status", "session_id"]).withColumn("found_in", F.array_join(F.transform("found_in", lambda i: i.cast("string")), ","))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def known_sessions_semi(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(known, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def unseen_anti(spark, sf_dir):
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def latest_recording(spark, sf_dir):
+    return r.latest(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT 'id' AS reference, c_custkey FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'name', c_custkey FROM customer WHERE c_name = 'Customer#000000009'
+    UNION ALL SELECT 'latest', max(c_custkey) FROM customer""")
+def resolve_reference(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    out = None
+    for kind, reference in (("id", "7"), ("name", "Customer#000000009"), ("latest", "latest"), ("name", "BUILDING")):
+        one = r.resolve(customers, reference, "c_custkey", "c_name", ["c_custkey"]).select(F.lit(kind).alias("reference"), "c_custkey")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT o_custkey, count(*) AS sessions, sum(o_orderkey)::BIGINT AS operations, count(*) FILTER (o_orderstatus = 'F') AS published FROM orders GROUP BY 1""")
+def list_report(spark, sf_dir):
+    return r.parent_rollup(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "F").orderBy("o_custkey")
+
+
+@query("""SELECT o_custkey, CASE WHEN count(CASE WHEN o_orderkey % 50 <> 0 THEN 1 END) = count(*) THEN sum(o_orderkey)::BIGINT END AS total FROM orders GROUP BY 1""")
+def null_poison_sum(spark, sf_dir):
+    return r.null_poison_sum(table(spark, sf_dir, "orders").withColumn("v", F.expr("if(o_orderkey % 50 <> 0, o_orderkey, null)")), ["o_custkey"], "v")
+
+
+@query("""SELECT o_custkey, min(epoch_us(o_orderdate)) AS started_at, max(epoch_us(o_orderdate)) AS ended_at, coalesce(max_by(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'F'), 'F') AS status, count(*) AS sessions FROM orders GROUP BY 1""")
+def merge_sessions(spark, sf_dir):
+    return r.merge_sessions(table(spark, sf_dir, "orders").withColumn("at", F.unix_micros(F.col("o_orderdate").cast("timestamp"))), ["o_custkey"], ["o_orderkey"], "at", "at", "o_orderstatus", "F")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'published' WHEN o_orderkey % 5 <> 0 AND o_orderstatus = 'P' THEN 'incomplete' WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderpriority = '1-URGENT' THEN 'aborted' WHEN o_orderpriority = '2-HIGH' THEN 'aborted' ELSE o_orderpriority END
+    WHEN o_orderpriority = '1-URGENT' THEN 'running' WHEN o_orderpriority = '2-HIGH' THEN 'missing' ELSE o_orderpriority END AS status FROM orders""")
+def status_truth_table(spark, sf_dir):
+    advisory = F.when(F.col("o_orderpriority") == "1-URGENT", "running").when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderpriority"))
+    status = r.reconcile_status(F.when(F.col("o_orderkey") % 3 == 0, "published"), F.col("o_orderstatus") == "P", F.col("o_orderkey") % 5 != 0, advisory)
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
+
+
+@query("""WITH b AS (SELECT k, o_orderkey, o_custkey FROM (SELECT DISTINCT o_custkey AS k, o_orderkey, o_custkey FROM orders) UNION ALL SELECT o_orderkey + 1000000, o_orderkey, o_custkey FROM orders)
+    SELECT k AS index_key, o_orderkey FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey) = 1""")
+def index_by_two_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("epoch", F.col("o_orderkey") + 1000000)
+    return r.index_by_two_keys(rows, "o_custkey", "epoch", ["o_orderkey"]).select("index_key", "o_orderkey")
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER w - (o_orderkey % 97 = 0)::INT AS ordinal, lag(o_orderkey) OVER w AS p, CASE WHEN o_orderkey % 101 <> 0 THEN lead(o_orderkey) OVER w END AS f, lead(o_orderkey) OVER w IS NULL AS a
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    x AS (SELECT o_custkey, a, coalesce(ordinal <> lag(ordinal) OVER w + 1, false)::INT + (p IS DISTINCT FROM lag(o_orderkey) OVER w)::INT + (f IS DISTINCT FROM lead(o_orderkey) OVER w)::INT AS bad FROM e WINDOW w AS (PARTITION BY o_custkey ORDER BY ordinal, o_orderkey))
+    SELECT o_custkey, (sum(bad) + (count(*) FILTER (a) <> 1)::INT)::BIGINT AS violations FROM x GROUP BY 1 HAVING count(*) FILTER (a) > 0""")
+def epoch_chain_check(spark, sf_dir):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w)).withColumn("previous", F.lag("o_orderkey").over(w)).withColumn("_lead", F.lead("o_orderkey").over(w))
+    rows = rows.withColumn("ordinal", F.struct((F.col("n") - (F.col("o_orderkey") % 97 == 0).cast("int")).alias("n"), "o_orderkey")).withColumn("following", F.expr("if(o_orderkey % 101 <> 0, _lead, null)"))
+    rows = rows.withColumn("active", F.col("_lead").isNull())
+    # ordinals that clash are ordered by id
+    at = W.partitionBy("o_custkey").orderBy("ordinal")
+    rows = rows.withColumn("skips", F.coalesce(F.col("ordinal.n") != F.lag("ordinal.n").over(at) + 1, F.lit(False)).cast("int"))
+    bad = rows.withColumn("bad", F.col("skips") + (~F.col("previous").eqNullSafe(F.lag("o_orderkey").over(at))).cast("int") + (~F.col("following").eqNullSafe(F.lead("o_orderkey").over(at))).cast("int"))
+    return bad.groupBy("o_custkey").agg((F.sum("bad") + (F.count_if("active") != 1).cast("int")).alias("violations"))
+
+
+@query("""SELECT o_custkey, 0::BIGINT AS violations FROM orders GROUP BY 1""")
+def epoch_chain_whole(spark, sf_dir):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").withColumn("ordinal", F.row_number().over(w)).withColumn("previous", F.lag("o_orderkey").over(w)).withColumn("following", F.lead("o_orderkey").over(w))
+    return r.epoch_chain(rows.withColumn("active", F.col("following").isNull()), ["o_custkey"], "ordinal", "o_orderkey", "previous", "following", "active")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'rebuild' WHEN c_custkey % 10 = 1 THEN 'conflict_c_name' WHEN c_custkey % 15 = 2 THEN 'conflict_c_nationkey' ELSE 'authoritative' END AS verdict FROM customer""")
+def epoch_evidence(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    seen = customers.where("c_custkey % 6 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 10 == 1, "other").otherwise(F.col("c_name"))).withColumn("c_nationkey", F.when(F.col("c_custkey") % 15 == 2, -1).otherwise(F.col("c_nationkey")))
+    return r.reconcile_epochs(customers, seen, ["c_custkey"], ["c_name", "c_nationkey"])
+
+
+@query("""WITH x AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS ordinal FROM events)
+    SELECT event_type, ordinal, event_id, 0::BIGINT AS left_out FROM x WHERE ordinal <= 64 UNION ALL SELECT event_type, 65, NULL, count(*) FROM x WHERE ordinal > 64 GROUP BY 1""")
+def issue_cap(spark, sf_dir):
+    return r.cap_issues(events(spark, sf_dir), ["event_type"], ["event_id"], ["event_id"])
+
+
+@query("""SELECT 'event' AS kind, event_id AS sequence FROM events WHERE event_type = 'error' UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'unknown', NULL FROM region""")
+def evidence_union(spark, sf_dir):
+    parts = {"event": events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("sequence")), "order": table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("sequence")), "unknown": table(spark, sf_dir, "region").select(F.lit(None).cast("long").alias("sequence"))}
+    return r.union_evidence(parts, ["sequence"], "sequence")
+
+
+@query("""SELECT 'left' AS side, event_id, event_type FROM (SELECT event_id, event_type FROM events EXCEPT ALL SELECT event_id, CASE WHEN event_id % 1000 = 1 THEN 'x' ELSE event_type END FROM events)
+    UNION ALL SELECT 'right', event_id, 'x' FROM events WHERE event_id % 1000 = 1""")
+def session_equivalence(spark, sf_dir):
+    a = events(spark, sf_dir).select("event_id", "event_type")
+    return r.differences(a, a.withColumn("event_type", F.when(F.col("event_id") % 1000 == 1, "x").otherwise(F.col("event_type"))))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return r.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey FROM orders")
+def bounded_rows(spark, sf_dir):
+    return r.at_most(table(spark, sf_dir, "orders"), ["o_custkey"], 10_000).select("o_orderkey")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 21 = 0 THEN 'conflict' WHEN doc_id % 2 = 1 THEN 'created' WHEN doc_id % 3 = 0 THEN 'conflict' ELSE 'already_exists_matching' END AS outcome FROM documents""")
+def put_outcomes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    stored = docs.where("doc_id % 2 = 0").withColumn("digest", F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("digest")))
+    return r.put_if_absent(stored, docs, "doc_id", "digest", docs.where("doc_id % 21 = 0")).select("doc_id", "outcome")
+
+
+@query("SELECT doc_id FROM documents WHERE NOT (doc_id % 5 = 0)")
+def tombstoned(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    wanted = docs.where("doc_id % 5 = 0").unionByName(docs.where("doc_id % 5 = 1").withColumn("digest", F.lit("stale")))
+    return r.tombstone(docs, wanted, "doc_id", "digest")[0].select("doc_id")
+
+
+@query("SELECT url FROM pages WHERE starts_with(url, 'https://') ORDER BY url LIMIT 20")
+def artifact_page(spark, sf_dir):
+    return r.list_prefix(table(spark, sf_dir, "pages").select("url"), "url", "https://", 20)
+
+
+@query("""WITH d AS (SELECT source, sha256(text) AS s, octet_length(encode(text))::BIGINT AS b FROM documents WHERE octet_length(encode(text)) > 0), g AS (SELECT source, s, count(*) AS n, max(b) AS b FROM d GROUP BY 1, 2)
+    SELECT source, sum(n)::BIGINT AS payloads, sum(n * b)::BIGINT AS payload_bytes, count(*) AS distinct_payloads, sum(b)::BIGINT AS distinct_bytes FROM g GROUP BY 1""")
+def content_addressed(spark, sf_dir):
+    return r.content_addressed(table(spark, sf_dir, "documents"), ["source"], F.col("text"))
+
+
+@query("""WITH q AS (SELECT c_custkey, least(greatest(c_custkey * 10 - 2000, 0), greatest(9000 - c_nationkey * 300, 0)) AS room, c_custkey % 900 * 10 AS need, c_nationkey * 300 AS managed FROM customer)
+    SELECT c_custkey, CASE WHEN need <= room THEN 'none' WHEN need <= room + managed THEN 'recoverable' ELSE 'terminal' END AS pressure FROM q""")
+def quota_pressure(spark, sf_dir):
+    pressure = r.quota_pressure(F.col("c_custkey") * 10, F.col("c_custkey") % 900 * 10, F.lit(9000), F.lit(2000), F.col("c_nationkey") * 300)
+    return table(spark, sf_dir, "customer").select("c_custkey", pressure.alias("pressure"))
+
+
+@query(f"""SELECT event_id, (sum(CASE WHEN event_type = 'error' THEN -{SQL_SIZE} ELSE {SQL_SIZE} END) OVER w)::BIGINT AS reserved, sum(CASE WHEN event_type = 'error' THEN -{SQL_SIZE} ELSE {SQL_SIZE} END) OVER w <= 150000 AS fits FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def reservation_ledger(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("delta", F.when(F.col("event_type") == "error", -F.col("size")).otherwise(F.col("size")))
+    return r.reservation_ledger(rows, ["user_id"], "event_id", "delta", F.lit(150000)).select("event_id", "reserved", "fits")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' WHEN o_custkey % 5 = 0 THEN 'stale' WHEN o_orderstatus = 'F' THEN 'stopping' WHEN o_orderkey % 3 = 0 THEN 'degraded' WHEN o_orderstatus = 'O' THEN 'ready' ELSE 'starting' END AS status,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'fatal' WHEN o_custkey % 5 = 0 THEN 'user' WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN 'source_completed' WHEN o_orderstatus = 'O' THEN 'deadline' END AS stop FROM orders""")
+def recorder_states(spark, sf_dir):
+    a, b, f, d, o = F.col("o_orderkey") % 7 == 0, F.col("o_custkey") % 5 == 0, F.col("o_orderstatus") == "F", F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus") == "O"
+    return table(spark, sf_dir, "orders").select("o_orderkey", r.recorder_status(~b, a, f, o, d).alias("status"), r.stop_reason(a, b, f, o, d).alias("stop"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS from_state, event_type AS to_state FROM events)
+    SELECT * FROM s WHERE from_state IS NOT NULL AND (from_state, to_state) NOT IN (('view', 'click'), ('click', 'purchase'), ('signup', 'view'), ('view', 'view'))""")
+def illegal_transitions(spark, sf_dir):
+    allowed = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("signup", "view"), ("view", "view")], "from_state string, to_state string")
+    return r.illegal_transitions(events(spark, sf_dir), ["user_id"], "event_id", "event_type", allowed)
+
+
+@query("""SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'fail' WHEN bool_or(l_returnflag = 'A') THEN 'warn' ELSE 'pass' END AS status, CASE WHEN bool_or(l_returnflag = 'R') THEN 4 ELSE 0 END AS exit_code FROM lineitem GROUP BY 1""")
+def doctor_report(spark, sf_dir):
+    status = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "A", "warn").otherwise("pass")
+    return r.worst_status(table(spark, sf_dir, "lineitem").withColumn("status", status), ["l_orderkey"], "status")
+
+
+@query("""WITH g AS (SELECT o_custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), h AS (SELECT o_custkey, min(o_orderkey) AS a, min(o_orderkey) AS b FROM orders GROUP BY 1),
+    q AS (SELECT * FROM g UNION ALL SELECT * FROM h), c AS (SELECT o.o_custkey, o.o_orderkey, (SELECT count(*) FROM q WHERE q.o_custkey = o.o_custkey AND o.o_orderkey BETWEEN q.a AND q.b) AS times FROM orders o)
+    SELECT * FROM c WHERE times <> 1""")
+def coverage_check(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    span = lambda df, b: df.groupBy("o_custkey").agg(F.min("o_orderkey").alias("a"), b("o_orderkey").alias("b"))
+    ranges = span(orders.where("o_orderstatus = 'F'"), F.max).unionByName(span(orders, F.min))
+    return r.uncovered(ranges, orders, ["o_custkey"], "a", "b", "o_orderkey")
+
+
+@query(f"""SELECT user_id, count(*) FILTER (true) AS received_records, sum({SQL_SIZE})::BIGINT AS received_bytes, count(*) FILTER (event_type = 'error') AS rejected_records, coalesce(sum({SQL_SIZE}) FILTER (event_type = 'error'), 0)::BIGINT AS rejected_bytes FROM events GROUP BY 1""")
+def ingest_counters(spark, sf_dir):
+    return r.ingest_counters(events(spark, sf_dir), ["user_id"], {"received": F.lit(True), "rejected": F.col("event_type") == "error"}, "size")
