@@ -36,7 +36,7 @@ def pair_fifo(df: DataFrame, conn: str, sequence: str, kind: str) -> DataFrame:
     takes the oldest request that waits; one that finds none is an orphan. kind holds request and response."""
     schema = T.StructType([df.schema[conn], T.StructField("request", T.LongType()), T.StructField("response", T.LongType()), T.StructField("state", T.StringType())])
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         waiting, out = deque(), []
         for s, k in rows.sort_values(sequence)[[sequence, kind]].itertuples(index=False):
             if k == "request":
