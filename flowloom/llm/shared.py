@@ -16,6 +16,8 @@ from pyspark.sql.window import Window as W
 
 #: Bytes of text that a packed chunk aims at; one longer text makes a chunk of its own.
 CHUNK_BYTES = 8 << 20
+#: Level of compression of packed chunks, which are written once and moved several times.
+CHUNK_LEVEL = 6
 #: Rows that one cell of a distributed running sum aims at.
 CELL_ROWS = 250_000
 
@@ -117,7 +119,7 @@ def pack(df: DataFrame, text: str, others: list[str], target: int = CHUNK_BYTES)
 def _chunk(number: int, rows: list[pa.RecordBatch], held: int) -> pa.RecordBatch:
     whole = pa.Table.from_batches(rows).combine_chunks()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", CHUNK_LEVEL))) as out:
         out.write_table(whole)
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([whole.num_rows], pa.int32()), pa.array([held], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "n_rows", "n_bytes", "blob"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ngram_join import mix
-from .shared import materialize, pack, spark_schema, text_bytes, unpack
+from .shared import CHUNK_LEVEL, materialize, pack, spark_schema, text_bytes, unpack
 
 #: Bytes of a match, and of the strings whose hashes choose the anchor.
 LENGTH, ANCHOR = 50, 20
@@ -141,7 +141,7 @@ def _from_planes(x: np.ndarray, size: int) -> np.ndarray:
 def _squeeze(*arrays: bytes) -> bytes:
     table = pa.table({"x": pa.array(arrays, pa.binary())})
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", CHUNK_LEVEL))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
