@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from flowloom.operators import logs
 from flowloom.plans.catalog import query, table
 
-SIZE = F.round(F.col("value") * 100).cast("long")
 SQL_SIZE = "round(value * 100)::BIGINT"
-MARK = F.col("event_type") == "signup"
-NS = F.unix_micros("ts")
+
+
+def mark():
+    """Which rows are commit markers."""
+    return F.col("event_type") == "signup"
 
 
 def events(spark, sf_dir):
-    return table(spark, sf_dir, "events").withColumn("size", SIZE).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return table(spark, sf_dir, "events").withColumn("size", F.round(F.col("value") * 100).cast("long")).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 @query("""SELECT user_id, a AS "after", event_id AS "before", event_id - a - 1 AS missing FROM (
@@ -26,14 +28,14 @@ def sequence_gaps(spark, sf_dir):
 @query("""WITH m AS (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'signup' GROUP BY 1)
     SELECT event_id, coalesce(event_id <= m, false) AS committed FROM events LEFT JOIN m USING (user_id)""")
 def committed_prefix(spark, sf_dir):
-    return logs.committed_prefix(events(spark, sf_dir), ["user_id"], "event_id", MARK).select("event_id", "committed")
+    return logs.committed_prefix(events(spark, sf_dir), ["user_id"], "event_id", mark()).select("event_id", "committed")
 
 
 @query("""WITH m AS (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'signup' GROUP BY 1)
     SELECT user_id, count(*) FILTER (coalesce(event_id <= m, false)) AS committed_records, count(*) FILTER (NOT coalesce(event_id <= m, false)) AS ignored_post_commit_records
     FROM events LEFT JOIN m USING (user_id) WHERE event_type <> 'signup' GROUP BY 1""")
 def post_commit_counts(spark, sf_dir):
-    return logs.post_commit_counts(events(spark, sf_dir), ["user_id"], "event_id", MARK)
+    return logs.post_commit_counts(events(spark, sf_dir), ["user_id"], "event_id", mark())
 
 
 BATCHES = f"""WITH b AS (SELECT *, event_type <> 'signup' AS d, {SQL_SIZE} AS z,
@@ -45,12 +47,12 @@ BATCHES = f"""WITH b AS (SELECT *, event_type <> 'signup' AS d, {SQL_SIZE} AS z,
 
 @query(BATCHES)
 def commit_batches(spark, sf_dir):
-    return logs.commit_batches(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), MARK)
+    return logs.commit_batches(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), mark())
 
 
 @query("SELECT 0::BIGINT AS user_id, 0::BIGINT AS marker WHERE false")
 def marker_violations(spark, sf_dir):
-    batches = logs.commit_batches(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), MARK)
+    batches = logs.commit_batches(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), mark())
     return logs.check_markers(batches, batches, ["user_id"])
 
 
@@ -63,7 +65,7 @@ def ordered_digest(spark, sf_dir):
     c AS (SELECT user_id, min(event_id) FILTER (n >= 20) AS f, max(event_id) AS l FROM f WHERE m AND n > 0 GROUP BY 1)
     SELECT c.user_id, coalesce(f, l) AS cut, n AS new_records FROM c JOIN f ON c.user_id = f.user_id AND f.event_id = coalesce(c.f, c.l)""")
 def batch_cut(spark, sf_dir):
-    return logs.batch_cut(events(spark, sf_dir), ["user_id"], "event_id", MARK, F.lit(100), 20)
+    return logs.batch_cut(events(spark, sf_dir), ["user_id"], "event_id", mark(), F.lit(100), 20)
 
 
 @query(f"""SELECT user_id, count(*) FILTER (event_id > 500) AS records, coalesce(sum({SQL_SIZE}) FILTER (event_id > 500), 0)::BIGINT AS bytes,
@@ -82,8 +84,8 @@ def keep_last_dedup(spark, sf_dir):
     SELECT segment, min(event_id) FILTER (committed) AS first_sequence, max(event_id) FILTER (committed) AS last_committed, min(event_id) FILTER (k) AS first_marker,
     max(event_id) FILTER (k) AS last_marker, count(*) AS records, sum(z)::BIGINT AS bytes, bool_or(committed) AS has_committed FROM c GROUP BY 1""")
 def segment_rollup(spark, sf_dir):
-    log = logs.committed_prefix(events(spark, sf_dir).withColumn("log", F.lit(1)), ["log"], "event_id", MARK)
-    return logs.segment_rollup(log.withColumn("segment", F.expr("event_id div 100")), ["segment"], "event_id", F.col("size"), MARK)
+    log = logs.committed_prefix(events(spark, sf_dir).withColumn("log", F.lit(1)), ["log"], "event_id", mark())
+    return logs.segment_rollup(log.withColumn("segment", F.expr("event_id div 100")), ["segment"], "event_id", F.col("size"), mark())
 
 
 @query(f"""WITH m AS (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'signup' GROUP BY 1),
@@ -92,7 +94,7 @@ def segment_rollup(spark, sf_dir):
     SELECT user_id, count(*) FILTER (NOT k) AS discarded_records, coalesce(sum(z) FILTER (NOT k), 0)::BIGINT AS discarded_bytes, coalesce(max(event_id) FILTER (k), -1) + 1 AS next_sequence,
     coalesce(sum(z) FILTER (k), 0)::BIGINT AS projected_bytes, any_value(removed_segments) AS removed_segments FROM c JOIN s USING (user_id) GROUP BY 1""")
 def reopen_preview(spark, sf_dir):
-    return logs.reopen_preview(events(spark, sf_dir).withColumn("segment", F.expr("event_id div 1000")), ["user_id"], "event_id", F.col("size"), "segment", MARK)
+    return logs.reopen_preview(events(spark, sf_dir).withColumn("segment", F.expr("event_id div 1000")), ["user_id"], "event_id", F.col("size"), "segment", mark())
 
 
 @query("""WITH o AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2),
