@@ -63,6 +63,11 @@ def _pack(rows: DataFrame, size: int, scale: float) -> DataFrame:
 
 def top_of_shard(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own, k: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of the k largest q . x (ties: smaller id) among rows whose id is not ``own``."""
+    if x.dtype == object:  # beyond exact doubles: all of them, stopped at the ends of a long
+        alive = np.flatnonzero(ids != own)
+        score = np.array([max(-LONG - 1, min(LONG, int(s))) for s in x[alive] @ q], object)
+        order = sorted(range(len(alive)), key=lambda r: (-score[r], ids[alive[r]]))[:k]
+        return alive[order], score[order]
     best, worst = np.maximum(q * low, q * high), np.minimum(q * low, q * high)
     terms = np.argsort(worst - best, kind="stable")
     rest = np.concatenate([best[terms][::-1].cumsum()[::-1], [0]])  # the most that the terms from here on add
@@ -98,12 +103,12 @@ def _search(k: int):
         (query_ids, queries), (ids, x) = sides[True], sides[False]
         if dims and np.abs(queries).max() * np.abs(x).max() * dims >= EXACT:
             queries, x = (np.array([[int(v) for v in row] for row in m], object).reshape(m.shape) for m in (queries, x))
-        low, high = (x.min(axis=0), x.max(axis=0)) if dims else (np.empty(0), np.empty(0))
+        low, high = x.min(axis=0, initial=np.inf), x.max(axis=0, initial=-np.inf)
         for own, q in zip(query_ids, queries, strict=True):
             rows, scores = top_of_shard(q, x, ids, own, k, low, high)
             out[0].append(np.full(len(rows), own))
             out[1].append(ids[rows])
-            out[2].append(np.array([max(-LONG - 1, min(LONG, int(s))) for s in scores], np.int64))
+            out[2].append(scores.astype(np.int64))
         columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
         return pa.table([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
 
@@ -116,7 +121,7 @@ def maxscore(df: DataFrame, queries: Column, k: int, scale: float = 64.0, vector
 
     A query is not matched with rows of its own id. Null ids, and vectors that are null or hold null or non-finite
     components, take no part; only vectors of one length are compared. A repeated row is one candidate each time; of
-    queries with one id, one is asked (the smallest by its components). Scores beyond a long stop at its ends. An empty
+    queries with one id, one is asked (the smallest by its components). Scores beyond a long count as its ends. An empty
     table, or no query, gives no rows.
     """
     small_batches(df.sparkSession)

@@ -122,8 +122,8 @@ class _Chunk:
     def shares(self):
         """(share, from, to) of the different segments."""
         share = self.share[self.first]
-        edges = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]])) if len(share) else []
-        for a, b in zip(edges, [*edges[1:], len(share)], strict=True):
+        edges = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1), len(share)] if len(share) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield int(share[a]), int(a), int(b)
 
 
@@ -249,8 +249,8 @@ def _mark(shares: int, length: int):
             docs, starts, ends = [], [], []
             by = np.argsort(c.doc[gone], kind="stable")
             d, s, e = c.doc[gone][by], c.start[gone][by], (c.start[gone] + c.count[gone] + length - 1)[by]
-            edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
-            for x, y in zip(edges, [*edges[1:], len(d)], strict=True):
+            edges = [0, *(np.flatnonzero(d[1:] != d[:-1]) + 1), len(d)] if len(d) else [0]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
                 a, b = _merge(s[x:y], e[x:y])
                 docs.append(np.full(len(a), d[x], np.int32))
                 starts.append(a)
