@@ -40,6 +40,8 @@ BASE_PRIOR = 0.1
 TOGETHER, CELLS = 40, 1 << 20
 #: Bytes of text for which there is one share of the words.
 SHARE_BYTES = 16 << 20
+#: Pieces whose sums move together.
+PART = 1024
 END = b""  # the word that ends a text
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -261,25 +263,34 @@ class Mixture:
 
 def _expect(lattice, stop: float, mixture: Mixture):
     def run(batches):
+        """One task's expected counts of all pieces (the last: of words' ends), packed in parts of PART pieces."""
         model = lattice.value
+        total = np.zeros(len(model.pieces) + 1)
+
+        def weigh(logs, c):
+            w = mixture.new_share(logs + stop, c)
+            total[-1] += np.sum(w)
+            return w
+
         for batch in batches:
             for words, counts, n in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words, counts = _split(words.as_py()), _from_numbers(counts.as_py(), n, "<i8")
                 some = [i for i, w in enumerate(words) if w and counts[i] > 0]
-                weights = []
-
-                def weigh(logs, c, weights=weights):
-                    weights.append(w := mixture.new_share(logs + stop, c))
-                    return w
-
                 _, expected = model.scores([words[i] for i in some], counts[some].astype(np.float64), weigh)
-                expected = np.append(expected, sum(float(np.sum(w)) for w in weights))  # the last: ends of words
-                at = np.flatnonzero(expected)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(expected[at])], ["piece", "expected"])
+                total[:-1] += expected
+        if total.any():
+            parts = [total[i : i + PART].tobytes() for i in range(0, len(total), PART)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
 
     return run
 
 
+def _add(table: pa.Table) -> pa.Table:
+    """The sum of one part over all tasks."""
+    total = sum(np.frombuffer(x.as_buffer(), "<f8") for x in table.column("sums"))
+    return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
 def _reply(lattice, stop: float, mixture: Mixture):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         n = known.column("n")[0].as_py()
@@ -350,10 +361,12 @@ def lattice_scores(docs: DataFrame, learn: Column, pieces: dict[bytes, float], t
         lattice, stop = spark.sparkContext.broadcast(Lattice(names, logs[:-1])), float(logs[-1])
         if not left:
             break
-        sums = known.select("words", "counts", "n").mapInArrow(_expect(lattice, stop, mixture), spark_schema(piece="int", expected="double")).groupBy("piece").agg(F.sum("expected").alias("expected"))
+        packed = spark_schema(part="int", sums="binary")
+        sums = known.select("words", "counts", "n").mapInArrow(_expect(lattice, stop, mixture), packed).groupBy("part").applyInArrow(_add, packed)
         weights = np.full(len(names) + 1, PRIOR)
-        for r in sums.collect():  # one row for each piece of the vocabulary at most
-            weights[r["piece"]] += r["expected"]
+        for r in sums.collect():  # a number for each piece of the vocabulary
+            found = np.frombuffer(r["sums"], "<f8")
+            weights[r["part"] * PART : r["part"] * PART + len(found)] += found
     told = asked.select("share", "chunk", "words").groupBy("share").cogroup(known.select("share", "words", "counts", "n").groupBy("share")).applyInArrow(_reply(lattice, stop, mixture), spark_schema(chunk="long", share="int", counts="binary", logs="binary", n="int"))
     scored = blobs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(shares, total, kinds), spark_schema(doc_id="long", n_tokens="long", n_known="long", base_score="double", score="double"))
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
