@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize, small_batches, spark_schema
+from .shared import Forest, connected_components, materialize, small_batches, spark_schema
 
 #: Dimensions of a block, vectors that one side of a task holds at most, and rows of a tile of distances.
 BLOCK_DIMS, SIDE_ROWS, TILE = 16, 16_384, 512
@@ -77,29 +77,6 @@ def _turn(vectors: DataFrame, least: float) -> DataFrame:
     return vectors.select("cls", "copies", "vector").mapInArrow(run, spark_schema(dims="int", block="int", slab="int", cls="long", copies="long", turned="binary", vector="binary"))
 
 
-class _Forest:
-    """Components of rows under links that come in arrays."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.root[a], self.root[b]
-            apart = x != y
-            if not apart.any():
-                return
-            low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-            order = np.argsort(low, kind="stable")[::-1]  # of several lower roots the lowest is written last
-            self.root[high[order]] = low[order]
-            while True:
-                up = self.root[self.root]
-                if (up == self.root).all():
-                    break
-                self.root = up
-            a, b = a[apart], b[apart]
-
-
 def _join(least: float, raw: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         dims, b, _, across = (k.as_py() for k in key[:4])
@@ -118,7 +95,7 @@ def _join(least: float, raw: str):
         part = turned[:, block].astype(np.float32) / STEPS
         norm = (part * part).sum(axis=1)
         limits = [int((radius(c, dims, least) * STEPS) ** 2) for c in blocks]
-        links, forest = np.zeros(len(cls), np.int64), _Forest(len(cls))
+        links, forest = np.zeros(len(cls), np.int64), Forest(len(cls))
         at = axis[right]
         for t in range(0, len(left), TILE):
             rows = left[t : t + TILE]

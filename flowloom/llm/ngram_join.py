@@ -1,23 +1,26 @@
 """Exact Jaccard join of texts on word n-grams, by vertical partitioning.
 
-N-grams have one global order, that of their hashes. The order is cut into fragments, so every text's set falls into
-as many pieces, and what two texts share is the sum of what their pieces share.
-
-Candidates. Two sets that are similar enough differ in d n-grams at most, d given by their sizes; if the order is cut
-into more than d fragments, some piece is the same in both. So texts meet on (sizes, fragment, hash of the piece). A
-passage that many texts quote is no meeting point of its own: their pieces also hold other n-grams.
-
-Links. Texts of one set are one class from the start. Texts that meet are first compared with the smallest class of the
-meeting only; the links so found make components. Texts that met, but are not in one component, are then compared all
-with all. Pairs within a component change nothing, so no group of near copies is ever expanded into its pairs, and no
-component is missed.
-
-Counts. For the pairs to compare, the sets are cut into VERTICAL fragments; the overlap of each fragment is counted
-where the two pieces are joined, and summed per pair.
+N-grams have one global order: those of many texts last, within each kind by their hashes. The order is cut into
+fragments, so every text's set falls into as many pieces, and what two texts share is the sum of what their pieces share.
+Which n-grams many texts have is told by a table of counters of a fixed size; any order would give the same links.
+
+Candidates. The first fragment of a set is as long as all that a similar set may miss, and one more n-gram. Of two similar
+sets, the first n-gram that both have is in both first fragments; there they meet. A passage that many texts quote comes
+last in the order, so it is no meeting point unless a text has little else. Where similar sets miss few n-grams, the order
+is instead cut into more fragments than they can miss n-grams: some piece is the same in both, and texts meet on whole
+pieces, which seldom agree by chance.
+
+Groups. Of those that meet, each is grouped with the meeting's smallest class, its pivot, never all with all; two that
+meet stand in that pivot's group both. A group is compared in blocks of MEMBERS by MEMBERS, each a task of its own with
+the sets of both sides, so a group of any size needs no more memory, and no pair becomes a row.
+
+Counts. In a block the order is cut into VERTICAL fragments again. Each fragment's overlaps are counted for all pairs
+of the block, n-gram by n-gram, and added up; links are pairs with enough. A task returns a tree over what it linked.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
@@ -26,10 +29,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize, small_batches, spark_schema, text_bytes
-
-#: Fragments in which overlaps are counted.
-VERTICAL = 4
+from .shared import Forest, connected_components, materialize, small_batches, spark_schema, text_bytes
+
+#: Slots of hashes that texts are counted in (as a power of two), and the parts that their counters are sent in.
+COUNTER_BITS, COUNTER_PARTS = 22, 64
+#: A slot is common if it counts more than so many times the average, and so many texts more.
+COMMON_TIMES, COMMON_TEXTS = 3, 50
+#: N-grams that a set needs, and percent of similarity, for meeting on pieces of the whole order.
+PIECES_FROM, PIECES_FROM_SHARE = 50, 85
+#: Fragments in which overlaps are counted, and classes on one side of a block.
+VERTICAL, MEMBERS = 4, 1024
+#: From so many classes on, those that have an n-gram are a column of a matrix product, not pairs one by one.
+COMMON = 24
+#: Bits of the filter that says whose sets are wanted: 4 MB, broadcast.
+FILTER_BITS = 1 << 25
 #: Word hashes, and classes whose pieces were sent, that a worker remembers.
 CACHED_WORDS, CACHED_CLASSES = 400_000, 1_000_000
 
@@ -77,45 +90,104 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(shingles.tobytes(), seed=len(shingles)), ">i8")[0])
 
 
-class Pieces:
-    """Hashes of a set's pieces. Two sets with 100 * intersection >= share * union have one in common at least."""
+def first_fragment(shingles: np.ndarray, share: int, common: np.ndarray) -> np.ndarray:
+    """The first n-grams in the global order that a set has: if all were missing from another, too few would be left."""
+    last = common[shingles >> np.uint64(64 - COUNTER_BITS)]
+    return np.concatenate([shingles[~last], shingles[last]])[: len(shingles) - -(-share * len(shingles) // 100) + 1]
+
+
+class Meetings:
+    """Hashes of the places where a set meets those that may be similar: in its interval of sizes and in the next, the
+    n-grams of its first fragment; from PIECES_FROM n-grams and PIECES_FROM_SHARE percent on, its pieces instead."""
 
-    def __init__(self, share: int):
-        self.share, self.starts, self.cuts = share, [1], {}
+    def __init__(self, share: int, common: np.ndarray):
+        self.share, self.common, self.starts, self.cuts = share, common, [1], {}
 
-    def sizes(self, n: int) -> int:
+    def interval(self, n: int) -> int:
         """The interval of sizes that n is in: sets that can be similar are in one or in neighbouring intervals."""
         while self.starts[-1] <= n:
             self.starts.append(self.starts[-1] * 100 // self.share + 1)
         return bisect_right(self.starts, n) - 1
 
-    def _cut(self, interval: int) -> tuple[int, int]:
-        """Fragments for sets up to the interval's largest, and how many of a set's pieces may be empty before those count too."""
+    def _cut(self, interval: int) -> tuple[int, int, int]:
+        """Fragments for sets up to the interval's largest, the n-grams that a piece needs to count, and how many of a
+        set's pieces may have fewer before those count too."""
         if interval not in self.cuts:
             while len(self.starts) < interval + 2:
                 self.starts.append(self.starts[-1] * 100 // self.share + 1)
-            differ = (100 - self.share) * 2 * (self.starts[interval + 1] - 1) // (100 + self.share)
-            spare = 1 + differ // 32
-            self.cuts[interval] = (differ + 1 + spare, spare)
+            low, high = self.starts[interval], self.starts[interval + 1] - 1
+            differ = (100 - self.share) * 2 * high // (100 + self.share)
+            found = (2 * differ + 2, 1, differ + 1)
+            for need, cuts in ((need, cuts) for need in (1, 2) for cuts in range(differ + 2, 2 * differ + 2)):
+                # about as many pieces are too small as a Poisson distribution has, very seldom so many more
+                mean = low / cuts
+                few = cuts * math.exp(-mean) * (1 + (need - 1) * mean)
+                if cuts > differ + few + 3.5 * math.sqrt(few) + 1:
+                    found = (cuts, need, cuts - differ - 1)
+                    if need == 2 or low < 150:
+                        break
+            self.cuts[interval] = found
         return self.cuts[interval]
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        """Of F fragments, F - d are the same in both; at most as many as either has empty ones are empty. Empty pieces
-        are left out unless there are more than the spare ones: if both sets have more, both keep them."""
-        own, out = self.sizes(len(shingles)), []
-        body = mix(shingles + _M2)
-        for interval in (own, own + 1):
-            cuts, spare = self._cut(interval)
-            fragment = ((shingles >> _S32) * np.uint64(cuts)) >> _S32
-            starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
-            at, sums = fragment[starts], np.add.reduceat(body, starts)
-            if cuts - len(starts) > spare:
-                empty = np.setdiff1d(np.arange(cuts, dtype=np.uint64), at)
-                at, sums = np.concatenate([at, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-            out.append(mix(mix(sums + at * _M1) + np.uint64(interval)))
+        """Of F pieces, F - d are the same in two similar sets; of these, at most as many are small as either set has
+        small ones. Small ones are left out unless a set has more than the spare ones: if both have, both keep them."""
+        n, out = len(shingles), []
+        own, whole = self.interval(n), self.share >= PIECES_FROM_SHARE
+        if not whole or n * self.share <= 100 * PIECES_FROM:
+            first = mix(first_fragment(shingles, self.share, self.common) ^ _M1)
+            out += [mix(first + np.uint64(i)) for i in (own, own + 1)]
+        if whole and n >= PIECES_FROM:
+            body = mix(shingles + _M2)
+            for interval in (own, own + 1):
+                cuts, need, spare = self._cut(interval)
+                fragment = ((shingles >> _S32) * np.uint64(cuts)) >> _S32
+                starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
+                at, sums = fragment[starts], np.add.reduceat(body, starts)
+                enough = np.diff(np.concatenate([starts, [n]])) >= need
+                if cuts - enough.sum() <= spare:
+                    at, sums = at[enough], sums[enough]
+                else:
+                    empty = np.setdiff1d(np.arange(cuts, dtype=np.uint64), at)
+                    at, sums = np.concatenate([at, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+                out.append(mix(mix(sums + at * _M1) + np.uint64(interval)))
         return np.concatenate(out)
 
 
+def _counters(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """Whether each of 2**COUNTER_BITS slots of hashes counts far more texts than the slots do on average. A task sends
+    its counters in packed parts, parts are summed, and a bit for each slot reaches the driver."""
+    size = (1 << COUNTER_BITS) // COUNTER_PARTS
+
+    def run(batches):
+        shingles, counts, waiting, held = Shingler(n), np.zeros(1 << COUNTER_BITS, np.uint32), [], 0
+        for batch in batches:
+            for t in text_bytes(batch.column(0)):
+                waiting.append(shingles(t) >> np.uint64(64 - COUNTER_BITS))
+                held += len(waiting[-1])
+            if held > 1 << 20:
+                np.add.at(counts, np.concatenate(waiting).astype(np.int64), 1)
+                waiting, held = [], 0
+        if waiting:
+            np.add.at(counts, np.concatenate(waiting).astype(np.int64), 1)
+        if counts.any():
+            parts = [pa.compress(counts[i : i + size].tobytes(), "zstd", asbytes=True) for i in range(0, len(counts), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(pa.decompress(x.as_py(), 4 * size, "zstd"), np.uint32)
+        many = total > COMMON_TIMES * total.mean() + COMMON_TEXTS
+        return pa.table({"part": table.column("part")[:1], "common": pa.array([np.packbits(many).tobytes()], pa.binary())})
+
+    sums = docs.select(docs[text].cast("string").alias("_text")).mapInArrow(run, spark_schema(part="int", counts="binary")).groupBy("part").applyInArrow(add, spark_schema(part="int", common="binary"))
+    out = np.zeros((COUNTER_PARTS, size // 8), np.uint8)
+    for r in sums.collect():
+        out[r["part"]] = np.frombuffer(r["common"], np.uint8)
+    return out.ravel()
+
+
 def row_hash(doc: str, text: str) -> Column:
     """What rows are told apart by."""
     return F.xxhash64(F.col(doc).cast("long"), F.col(text).cast("string"))
@@ -136,12 +208,13 @@ def _classes(docs: DataFrame, text: str, doc: str, n: int) -> DataFrame:
 
 
 def _meetings(docs: DataFrame, text: str, n: int, share: int) -> DataFrame:
-    """meeting, cls, n_shingles: the pieces of each class, once from each task that has it."""
+    """meeting, cls: where each class meets others, once from each task that has it."""
+    bits = docs.sparkSession.sparkContext.broadcast(_counters(docs, text, n))
 
     def run(batches):
-        shingles, pieces, sent = Shingler(n), Pieces(share), set()
+        shingles, places, sent = Shingler(n), Meetings(share, np.unpackbits(bits.value).astype(bool)), set()
         for batch in batches:
-            keys, owners, sizes = [], [], []
+            keys, owners = [], []
             for t in text_bytes(batch.column(0)):
                 s = shingles(t)
                 c = class_of(s) if len(s) else None
@@ -150,53 +223,131 @@ def _meetings(docs: DataFrame, text: str, n: int, share: int) -> DataFrame:
                 if len(sent) >= CACHED_CLASSES:
                     sent.clear()
                 sent.add(c)
-                k = pieces(s)
+                k = places(s)
                 keys.append(k)
                 owners.append(np.full(len(k), c, np.int64))
-                sizes.append(np.full(len(k), len(s), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], ["meeting", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["meeting", "cls"])
 
-    return docs.select(docs[text].cast("string").alias("_text")).mapInArrow(run, spark_schema(meeting="long", cls="long", n="int"))
+    return docs.select(docs[text].cast("string").alias("_text")).mapInArrow(run, spark_schema(meeting="long", cls="long"))
 
 
 def _crowds(meetings: DataFrame) -> DataFrame:
-    """meeting, cls, n, pivot (the meeting's smallest class) of the meetings of two classes or more; sorted streams, so
-    a meeting of any size needs no memory."""
+    """a (the smallest class of a meeting), b: every other class of the meeting. Sorted streams, so a meeting of any
+    size needs no memory; a pair that met again in the same task is told once."""
 
     def run(batches):
-        meeting, pivot, last, size, told = None, 0, 0, 0, False  # of the run that is open
+        meeting, pivot, last, told = None, 0, 0, set()  # of the run that is open
         for batch in batches:
-            m, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            m, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             fresh = np.concatenate([[meeting is None or m[0] != meeting or c[0] != last], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])
-            m, c, n = m[fresh], c[fresh], n[fresh]
+            m, c = m[fresh], c[fresh]
             if not len(m):
                 continue
-            goes_on = meeting is not None and m[0] == meeting
             if meeting is not None:  # the open run's pivot stands before the batch
-                m, c, n = np.concatenate([[meeting], m]), np.concatenate([[pivot], c]), np.concatenate([[size], n]).astype(np.int32)
+                m, c = np.concatenate([[meeting], m]), np.concatenate([[pivot], c])
             starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-            lengths = np.diff(np.concatenate([starts, [len(m)]]))
-            pivots = np.repeat(c[starts], lengths)
-            keep = np.repeat(lengths > 1, lengths)
-            if meeting is not None and told:
-                keep[0] = False
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (m, c, n, pivots)], ["meeting", "cls", "n", "pivot"])
-            told = bool(lengths[-1] > 1) or (len(starts) == 1 and goes_on and told)
-            meeting, pivot, last, size = m[-1], c[starts[-1]], c[-1], n[starts[-1]]
+            pivots = np.repeat(c[starts], np.diff(np.concatenate([starts, [len(m)]])))
+            others = np.flatnonzero(c != pivots)
+            pairs = set(zip(pivots[others].tolist(), c[others].tolist(), strict=True)) - told
+            if len(told) > CACHED_CLASSES:
+                told.clear()
+            told |= pairs
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+            meeting, pivot, last = m[-1], c[starts[-1]], c[-1]
+
+    return meetings.repartition(F.col("meeting")).sortWithinPartitions("meeting", "cls").mapInArrow(run, spark_schema(a="long", b="long"))
+
+
+def pack_grams(shingles: np.ndarray) -> bytes:
+    """A sorted set's hashes without their lowest 16 bits, byte by byte, squeezed: of two sets, 48 bits tell n-grams apart."""
+    planes = np.ascontiguousarray(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+    return len(shingles).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack_grams(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(pa.decompress(packed[4:], 6 * n, "zstd"), np.uint8).reshape(6, n).T
+    return out.view(">u8").ravel().astype(np.uint64)
 
-    return meetings.repartition(F.col("meeting")).sortWithinPartitions("meeting", "cls").mapInArrow(run, spark_schema(meeting="long", cls="long", n="int", pivot="long"))
 
+def _positions(cls: int) -> tuple[int, int]:
+    return cls % FILTER_BITS, (cls >> 24) * 0x9E3779B1 % FILTER_BITS
 
-def _links(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, with shared: the overlaps of the fragments, summed."""
-    left = sets.select(F.col("cls").alias("a"), "fragment", F.col("piece").alias("_of_a"), F.col("n").alias("_na"))
-    right = sets.select(F.col("cls").alias("b"), "fragment", F.col("piece").alias("_of_b"), F.col("n").alias("_nb"))
-    parts = pairs.join(right, "b").join(left, ["a", "fragment"])
-    counted = parts.select("a", "b", "_na", "_nb", F.size(F.array_intersect("_of_a", "_of_b")).alias("_overlap"))
-    summed = counted.groupBy("a", "b").agg(F.sum("_overlap").alias("shared"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
-    return summed.where(100 * F.col("shared") >= share * (F.col("_na") + F.col("_nb") - F.col("shared"))).select("a", "b", "shared")
+
+def _filter(classes: DataFrame) -> np.ndarray:
+    """A Bloom filter of classes: FILTER_BITS bits whatever their number, made of words that partial sums have united."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.array([p for c in batch.column(0).to_pylist() for p in _positions(c)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // 32), pa.array(np.left_shift(1, at % 32))], ["word", "bits"])
+
+    words = classes.mapInArrow(run, spark_schema(word="long", bits="long")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams every two of the sets share: partial counts of the order's fragments, summed."""
+    m = len(sets)
+    total = np.zeros((m, m), np.float32)
+    edges = [np.uint64((1 << 64) * v // VERTICAL) for v in range(1, VERTICAL)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, np.array(edges, np.uint64)), [len(s)]]) for s in sets]
+    for v in range(VERTICAL):
+        pieces = [s[c[v] : c[v + 1]] for s, c in zip(sets, cuts, strict=True)]
+        gram, owner = np.concatenate(pieces), np.repeat(np.arange(m), [len(p) for p in pieces])
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
+        count = np.diff(np.concatenate([starts, [len(gram)]])) if len(gram) else starts
+        for k in np.unique(count[(count > 1) & (count < COMMON)]).tolist():  # n-grams of k sets, side by side
+            rows = owner[starts[count == k][:, None] + np.arange(k)]
+            for i in range(k - 1):
+                pair = (rows[:, i, None] * m + rows[:, i + 1 :]).ravel()
+                if len(pair) * 8 > m * m:
+                    total += np.bincount(pair, minlength=m * m).reshape(m, m)
+                else:
+                    np.add.at(total.reshape(-1), pair, 1)
+        common = np.flatnonzero(count >= COMMON)
+        for c in range(0, len(common), 512):
+            some = common[c : c + 512]
+            has = np.zeros((m, len(some)), np.float32)
+            for k, g in enumerate(some):
+                has[owner[starts[g] : starts[g] + count[g]], k] = 1
+            total += np.triu(has @ has.T, 1)
+    return total
+
+
+def _compare(share: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of the groups in one bin, or of one block of a large group: a tree over what is linked."""
+        cls, pivot = table.column("cls").to_numpy(), table.column("pivot").to_numpy()
+        side, blobs = table.column("side").to_numpy(), table.column("grams")
+        order = np.argsort(pivot, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], pivot[order][1:] != pivot[order][:-1]]))
+        a_out, b_out = [], []
+        for x, y in zip(starts, [*starts[1:], len(order)], strict=True):
+            rows = order[x:y]
+            sets = [unpack_grams(blobs[int(r)].as_py()) for r in rows]
+            sizes = np.array([len(s) for s in sets], np.float32)
+            shared = overlaps(sets)
+            i, j = np.nonzero(shared)
+            s = shared[i, j]
+            good = 100 * s >= share * (sizes[i] + sizes[j] - s)
+            if side[rows].any():  # of two sides, pairs across
+                good &= side[rows][i] != side[rows][j]
+            tree = Forest(len(rows))
+            tree.link(i[good], j[good])
+            moved = np.flatnonzero(tree.root != np.arange(len(rows)))
+            a_out.append(cls[rows[moved]])
+            b_out.append(cls[rows[tree.root[moved]]])
+        return pa.table({"a": pa.array(np.concatenate(a_out)), "b": pa.array(np.concatenate(b_out))})
+
+    return run
 
 
 def ngram_join(docs: DataFrame, n: int, share: int, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -211,39 +362,39 @@ def ngram_join(docs: DataFrame, n: int, share: int, text: str = "text", doc: str
     spark = docs.sparkSession
     small_batches(spark)
     rows = materialize(_classes(docs, text, doc, n))
-    crowds = materialize(_crowds(_meetings(docs, text, n, share)))
-    first = materialize(crowds.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
+    met = materialize(_crowds(_meetings(docs, text, n, share)).distinct())
+    groups = met.select(F.col("a").alias("pivot"), F.col("b").alias("cls")).union(met.select("a", "a").distinct())
 
-    # the sets of the classes that met others, from one text each
-    met = crowds.select("cls").distinct()
-    one = rows.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row")).join(met, "cls", "left_semi").select("row")
-    texts = docs.select(docs[text].cast("string").alias("_text"), row_hash(doc, text).alias("row")).join(one, "row", "left_semi").select("_text")
+    # the sets of the classes that met others; the filter lets some more through, the joins drop those
+    wanted = spark.sparkContext.broadcast(_filter(groups.select("cls")))
 
-    def cut(batches):
-        shingles, edges = Shingler(n), np.arange(1, VERTICAL, dtype=np.uint64) * np.uint64((1 << 64) // VERTICAL)
+    def collect(batches):
+        shingles, sent, bits = Shingler(n), set(), np.unpackbits(wanted.value, bitorder="little")
         for batch in batches:
-            out = [[], [], [], []]
+            classes, grams = [], []
             for t in text_bytes(batch.column(0)):
                 s = shingles(t)
-                for f, piece in enumerate(np.split(s.view(np.int64), np.searchsorted(s, edges))):
-                    for column, x in zip(out, (class_of(s), f, len(s), piece), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["cls", "fragment", "n", "piece"])
-
-    sets = materialize(texts.mapInArrow(cut, spark_schema(cls="long", fragment="int", n="int", piece="array<long>")).dropDuplicates(["cls", "fragment"]), "none")
-    links = materialize(_links(first, sets, share))
-    part = materialize(connected_components(links))
-
-    # meetings whose classes are not yet all in one component
-    named = crowds.select("meeting", "cls", "n").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = named.groupBy("meeting").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("meeting")
-    rest = named.join(mixed, "meeting", "left_semi")
-    other = rest.select("meeting", F.col("cls").alias("b"), F.col("n").alias("_nb"), F.col("component").alias("_cb"))
-    apart = rest.select("meeting", F.col("cls").alias("a"), F.col("n").alias("_na"), F.col("component").alias("_ca")).join(other, "meeting").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")))
-    apart = apart.where((100 * F.least("_na", "_nb")) >= share * F.greatest("_na", "_nb")).select("a", "b").distinct()
-    late = materialize(apart.join(first, ["a", "b"], "left_anti"))
-    more = _links(late, sets, share)
-    whole = connected_components(links.select("a", "b").union(more.select("a", "b")))
+                c = class_of(s) if len(s) else None
+                if c is not None and c not in sent and all(bits[p] for p in _positions(c)):
+                    if len(sent) >= CACHED_CLASSES:
+                        sent.clear()
+                    sent.add(c)
+                    classes.append(c)
+                    grams.append(pack_grams(s))
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(grams, pa.binary())], ["cls", "grams"])
+
+    texts = docs.select(docs[text].cast("string").alias("_text"))
+    sets = texts.mapInArrow(collect, spark_schema(cls="long", grams="binary")).join(groups.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    # groups of one block go to bins together; a larger one has a task for every two blocks
+    members = groups.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    bins = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), groups.count() // 4096)
+    part = F.expr("cast(pmod(xxhash64(cls, 7), parts) as int)")
+    dealt = groups.join(members, "pivot").withColumn("_part", part)
+    spots = F.transform(F.expr("sequence(0, parts - 1)"), lambda k: F.struct(F.least(k, "_part").alias("i"), F.greatest(k, "_part").alias("j"), (F.col("_part") > k).cast("int").alias("side")))
+    dealt = dealt.withColumn("_spot", F.explode(spots)).withColumn("bin", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("pivot"), F.lit(bins))).otherwise(F.xxhash64("pivot", "_spot.i", "_spot.j")))
+    blocks = dealt.select("cls", "pivot", "bin", F.col("_spot.side").alias("side"), F.col("_spot.i").alias("i"), F.col("_spot.j").alias("j")).join(sets, "cls")
+    links = blocks.groupBy("bin", "i", "j").applyInArrow(_compare(share), spark_schema(a="long", b="long"))
+    whole = connected_components(materialize(links))
 
     own = rows.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +129,29 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+class Forest:
+    """Components of rows under links that come in arrays."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return
+            low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            order = np.argsort(low, kind="stable")[::-1]  # of several lower roots the lowest is written last
+            self.root[high[order]] = low[order]
+            while True:
+                up = self.root[self.root]
+                if (up == self.root).all():
+                    break
+                self.root = up
+            a, b = a[apart], b[apart]
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node long, component long (its smallest node) of every node that stands in ``edges`` (a long, b long).
 

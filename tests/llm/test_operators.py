@@ -235,22 +235,28 @@ def test_ngram_join_large_family(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(brute_components(every, list(range(70)), 4, 85))
 
 
-def test_pieces_of_similar_sets_meet():
+def test_first_fragments_of_similar_sets_meet():
     r = np.random.default_rng(1)
-    for share in (80, 85, 90):
-        pieces = ngram_join.Pieces(share)
-        for n in [1, 2, 6, 7, 8, 13, 30, 49, 50, 51, 99, 100, 101, 230, 700]:
+    common = r.random(1 << ngram_join.COUNTER_BITS) < 0.3
+    for share in (60, 80, 85, 90):
+        for n in [1, 2, 6, 7, 8, 13, 50, 101, 700]:
             for _ in range(25):
-                a = np.unique(r.integers(0, 1 << 63, n, np.int64)).astype(np.uint64)
-                keep = math.ceil(share * n / 100)
-                b = np.sort(r.permutation(a)[:keep]) if r.random() < 0.5 else a
+                a = np.unique(r.integers(0, 1 << 63, n, np.int64)).astype(np.uint64) * np.uint64(2)
                 m = len(a)
-                swap = max(0, math.floor(m * (100 - share) / (100 + share)))
-                c = np.unique(np.concatenate([r.permutation(a)[: m - swap], r.integers(0, 1 << 63, swap, np.int64).astype(np.uint64)]))
-                for other in (b, c):
+                swap = max(0, m * (100 - share) // (100 + share))
+                for other in (np.sort(r.permutation(a)[: math.ceil(share * m / 100)]), np.unique(np.concatenate([r.permutation(a)[: m - swap], r.integers(0, 1 << 63, swap, np.int64).astype(np.uint64)]))):
                     both = len(np.intersect1d(a, other))
-                    if 100 * both >= share * (len(a) + len(other) - both):
-                        assert len(np.intersect1d(pieces(a), pieces(other)))
+                    if 100 * both >= share * (m + len(other) - both):
+                        assert len(np.intersect1d(ngram_join.first_fragment(a, share, common), ngram_join.first_fragment(other, share, common)))
+                        places = ngram_join.Meetings(share, common)
+                        assert len(np.intersect1d(places(a), places(other)))
+
+
+def test_ngram_join_with_common_ngrams(spark, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_TEXTS", 1)
+    monkeypatch.setattr(ngram_join, "COMMON_TIMES", 0)
+    got = ngram_join.ngram_join(documents(spark, texts), 4, 85).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == sorted(brute_components(texts, list(range(len(texts))), 4, 85))
 
 
 # suffix dedup
