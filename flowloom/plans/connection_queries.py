@@ -96,6 +96,14 @@ def range_overlaps(spark, sf_dir):
 LOSSES = "SELECT event_type AS clock, epoch_us(ts) AS s, epoch_us(ts) + event_id % 50 * 3600000000 AS t, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS d FROM events WHERE event_id % 10 = 0"
 
 
+#: A loss window from every event.
+ALL_LOSSES = "SELECT event_type AS clock, epoch_us(ts) AS s, epoch_us(ts) + event_id % 50 * 3600000000 AS t, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS d FROM events"
+
+
+def all_losses(spark, sf_dir):
+    return events(spark, sf_dir).select(F.col("event_type").alias("clock"), F.col("us").alias("start_ns"), F.expr(f"us + event_id % 50 * {HOUR}").alias("end_ns"), F.expr("if(event_id % 3 = 0, null, event_id)").alias("drop_delta"))
+
+
 def losses(spark, sf_dir):
     return events(spark, sf_dir).where("event_id % 10 = 0").select(F.col("event_type").alias("clock"), F.col("us").alias("start_ns"), F.expr(f"us + event_id % 50 * {HOUR}").alias("end_ns"), F.expr("if(event_id % 3 = 0, null, event_id)").alias("drop_delta"))
 
@@ -113,6 +121,19 @@ def point_in_interval_semi(spark, sf_dir):
     return c.affected_by_terminal_loss(clicks, losses(spark, sf_dir).where("clock = 'click'"), ["user_id"], "event_type", "us", 24 * HOUR)
 
 
+@query(f"""WITH w AS ({ALL_LOSSES}), p AS (SELECT user_id, event_type AS clock, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY 1, 2)
+    SELECT user_id, clock, count(*) FILTER (d IS NOT NULL) AS overlaps, count(*) FILTER (d IS NULL) AS unknown FROM p JOIN w USING (clock) WHERE t >= a AND s <= b GROUP BY 1, 2""")
+def interval_loss_join_all(spark, sf_dir):
+    spans = c.connection_spans(events(spark, sf_dir).withColumnRenamed("event_type", "clock"), ["user_id"], "event_id", ["clock"], "us")
+    return c.classify_losses(spans, all_losses(spark, sf_dir), ["user_id", "clock"], 240 * HOUR)
+
+
+@query(f"""WITH w AS (SELECT * FROM ({ALL_LOSSES}) WHERE clock = 'click') SELECT DISTINCT user_id FROM events e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM w WHERE epoch_us(e.ts) BETWEEN s AND t)""")
+def point_in_interval_semi_all(spark, sf_dir):
+    clicks = events(spark, sf_dir).where("event_type = 'click'")
+    return c.affected_by_terminal_loss(clicks, all_losses(spark, sf_dir).where("clock = 'click'"), ["user_id"], "event_type", "us", 24 * HOUR)
+
+
 @query("""WITH f AS (SELECT user_id, min(event_id) AS f, min_by(props, event_id) AS p FROM events WHERE event_type = 'signup' GROUP BY 1)
     SELECT event_id, CASE WHEN f < event_id THEN p END AS evidence_props FROM events LEFT JOIN f USING (user_id) WHERE event_type <> 'signup'""")
 def asof_first_evidence(spark, sf_dir):

@@ -22,6 +22,14 @@ def catalog_full_outer(spark, sf_dir):
     return r.merge_catalog([logs, listed], ["recording_id"], ["name", "status", "session_id"]).withColumn("found_in", F.array_join(F.transform("found_in", lambda i: i.cast("string")), ","))
 
 
+@query("""WITH o AS (SELECT o_custkey + 500 AS k, max(o_orderstatus) AS s, max(o_orderkey) AS l FROM orders GROUP BY 1)
+    SELECT coalesce(c_custkey, k) AS recording_id, c_name AS name, coalesce(s, c_mktsegment) AS status, l AS session_id, array_to_string(CASE WHEN k IS NULL THEN [1] WHEN c_custkey IS NULL THEN [0] ELSE [0, 1] END, ',') AS found_in FROM customer FULL JOIN o ON c_custkey = k""")
+def catalog_full_outer_all(spark, sf_dir):
+    logs = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 500).alias("recording_id")).agg(F.max("o_orderstatus").alias("status"), F.max("o_orderkey").alias("session_id"))
+    listed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
+    return r.merge_catalog([logs, listed], ["recording_id"], ["name", "status", "session_id"]).withColumn("found_in", F.array_join(F.transform("found_in", lambda i: i.cast("string")), ","))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def known_sessions_semi(spark, sf_dir):
     known = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
