@@ -28,8 +28,6 @@ MOST_ROWS = 6000
 MOST_FEATURES, LEAST_TEXTS, LEAST_WORTH, BEGINNINGS = 2500, 4, 4.5, (3, 4, 5, 6)
 #: Distinct words of a text are read whole; a longer word counts by its first so many bytes.
 WORD_BYTES = 40
-#: Swapped texts that the fit looks at, at most.
-MOST_SWAPS = 3000
 #: Weight of the squares of the weights, weight of the squared score changes under swaps, steps of the fit.
 RIDGE, SWAP_PENALTY, STEPS = 0.002, 4.0, 400
 #: Score from which a text is predicted toxic.
@@ -115,20 +113,22 @@ def fit(texts: Sequence[set[bytes]], labels: list[int], groups=IDENTITY_TERMS, s
     chosen += sorted({f for g in names for f in _features(g) if f in seen} - set(chosen))
     at = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((n, len(chosen)), np.float32)
-    changes = []
+    changes = Counter()
     for i, ws in enumerate(texts):
         bag = {f for w in ws for f in _features(w)}
         x[i, [at[f] for f in bag if f in at]] = 1
         for g in sorted(ws & names.keys()):
             for other in names[g]:
                 swapped = {f for w in (ws - {g}) | {other} for f in _features(w)}
-                d = np.zeros(len(chosen), np.float32)
-                for f in bag ^ swapped:
-                    if f in at:
-                        d[at[f]] = 1 if f in swapped else -1
-                if d.any() and len(changes) < MOST_SWAPS:
-                    changes.append(d)
-    delta = np.asarray(changes, np.float32).reshape(-1, len(chosen))
+                d = tuple(sorted((at[f], 1 if f in swapped else -1) for f in bag ^ swapped if f in at))
+                if d:
+                    changes[d] += 1
+    # the mean of the changes' outer products: its size is that of the features, however many swaps there are
+    moved = np.zeros((len(chosen), len(chosen)))
+    for d, times in changes.items():
+        where, sign = (np.array(v) for v in zip(*d, strict=True))
+        moved[np.ix_(where, where)] += times * np.outer(sign, sign)
+    moved = (moved / max(1, changes.total())).astype(np.float32)
     # rarer classes count as much as common ones
     each = np.where(y > 0, 0.5 / p, 0.5 / (1 - p)).astype(np.float32) / n
     w, b = np.zeros(len(chosen), np.float32), 0.0
@@ -136,8 +136,8 @@ def fit(texts: Sequence[set[bytes]], labels: list[int], groups=IDENTITY_TERMS, s
     for step in range(1, steps + 1):  # Adam
         r = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * each
         grad = x.T @ r + ridge * w
-        if len(delta):
-            grad += swap_penalty * (delta.T @ (delta @ w)) / len(delta)
+        if changes:
+            grad += swap_penalty * (moved @ w)
         gb = float(r.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.05 / (1 + step / 100)
