@@ -1,8 +1,9 @@
 """A toxicity classifier that does not mind which group a sentence names.
 
-A logistic regression over the words of a text and their beginnings. In every labelled text that names a group, the
-name is also swapped for others of its kind; the fit is charged for the squares of the changes in score that the swaps
-make, so that names of groups that happen to stand in insulting texts get no weight of their own.
+A logistic regression over the words of a text and their beginnings, and over n-grams of unspaced runs. In every labelled
+text that names a group, the name is also swapped for others of its kind; the fit is charged for the squares of the
+changes in score that the swaps make, so that names of groups that happen to stand in insulting texts get no weight of
+their own.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ MOST_ROWS = 6000
 #: Features kept at most, in how many texts one has to occur, how far (in standard deviations) toxic texts have to be
 #: more or fewer among them than among all, and bytes of the beginnings that count as features.
 MOST_FEATURES, LEAST_TEXTS, LEAST_WORTH, BEGINNINGS = 2500, 4, 4.5, (3, 4, 5, 6)
-#: Distinct words of a text are read whole; a longer word counts by its first so many bytes.
-WORD_BYTES = 40
+#: Words of up to so many bytes are read whole. Of a longer run (unspaced scripts, joined strings) all strings of NGRAMS
+#: characters count, by their hashes of NGRAM_BITS bits.
+WORD_BYTES, NGRAMS, NGRAM_BITS = 40, (2, 4), 16
 #: Weight of the squares of the weights, weight of the squared score changes under swaps, steps of the fit.
 RIDGE, SWAP_PENALTY, STEPS = 0.002, 4.0, 400
 #: Score from which a text is predicted toxic.
@@ -54,13 +56,29 @@ IDENTITY_TERMS = (
 _WORD = re.compile(rb"[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def _run_ngrams(run: bytes) -> set[bytes]:
+    """Hashes of the strings of NGRAMS characters anywhere in a run, marked as such."""
+    chars = np.frombuffer(run.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out = set()
+    for n in NGRAMS:
+        h = np.full(max(0, len(chars) - n + 1), n, np.uint64)
+        for j in range(n):
+            h = (h ^ chars[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        out.update(b"~%x" % x for x in np.unique(h & np.uint64((1 << NGRAM_BITS) - 1)).tolist())
+    return out
+
+
 def text_words(text: bytes) -> set[bytes]:
-    return {w[:WORD_BYTES] for w in set(_WORD.findall(text.lower()))}
+    """Distinct words, and the marked n-grams of runs that are too long for a word."""
+    met = set(_WORD.findall(text.lower()))
+    long = [w for w in met if len(w) > WORD_BYTES]
+    return met.difference(long).union(*map(_run_ngrams, long))
 
 
 def _features(word: bytes) -> list[bytes]:
-    """The word itself, and its beginnings marked as such."""
-    return [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
+    """The word itself, and its beginnings marked as such; an n-gram is one feature."""
+    return [word] if word.startswith(b"~") else [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
 @dataclass
