@@ -56,6 +56,21 @@ def marker_violations(spark, sf_dir):
     return logs.check_markers(batches, batches, ["user_id"])
 
 
+#: What markers say of their batches, each in one of six ways: as it is, or with one count wrong or a place missing.
+SAID = f"""SELECT user_id, marker, durable_records + (marker % 6 = 1)::INT AS r, durable_bytes - (marker % 6 = 2)::INT AS b,
+    CASE WHEN marker % 6 <> 3 THEN batch_first END AS f, batch_last + (marker % 6 = 4)::INT AS l FROM ({BATCHES})"""
+
+
+@query(f"""SELECT user_id, marker FROM ({BATCHES}) JOIN ({SAID}) USING (user_id, marker)
+    WHERE durable_records <> r OR durable_bytes <> b OR batch_first IS DISTINCT FROM f OR batch_last IS DISTINCT FROM l""")
+def marker_disagreements(spark, sf_dir):
+    batches = logs.commit_batches(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), mark())
+    wrong = lambda k: F.expr(f"if(marker % 6 = {k}, 1, 0)")
+    said = batches.withColumn("durable_records", F.col("durable_records") + wrong(1)).withColumn("durable_bytes", F.col("durable_bytes") - wrong(2))
+    said = said.withColumn("batch_first", F.expr("if(marker % 6 <> 3, batch_first, null)")).withColumn("batch_last", F.col("batch_last") + wrong(4))
+    return logs.check_markers(batches, said, ["user_id"])
+
+
 @query("""SELECT o_custkey, sha256(string_agg(o_orderkey::VARCHAR || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1""")
 def ordered_digest(spark, sf_dir):
     return logs.ordered_digest(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus"))
