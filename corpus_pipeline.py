@@ -31,14 +31,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity(docs, model, out="_toxicity").where(F.col("_toxicity") < THRESHOLD).select(*COLUMNS)
 
 
+def row_name(docs: DataFrame) -> DataFrame:
+    """docs with _a and _b, 128 bits that tell rows apart by all columns; rows that agree in all of them are the same."""
+    parts = [F.col(c) for c in COLUMNS] + [F.col(c).isNull() for c in COLUMNS]
+    return docs.withColumn("_a", F.xxhash64(F.lit(1), *parts)).withColumn("_b", F.xxhash64(F.lit(2), *parts))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row, that with the smallest id. Wordless and null texts are in no group: all stay."""
-    docs = docs.select(*COLUMNS)
-    groups = near.ngram_join(docs, SHINGLE, SIMILAR).where("component is not null")
-    first = groups.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("_first"))
-    chosen = docs.withColumn("_row", near.row_hash("doc_id", "text")).join(first.select(F.col("_first.row").alias("_row")), "_row", "left_semi")
+    """Of each group of near copies one row, that with the smallest id (of several, with the smallest name). Wordless and
+    null texts are in no group: all stay. Equal rows count as one. A text of any length is compared whole; no rows give none."""
+    docs = row_name(docs.select(*COLUMNS))
+    groups = near.ngram_join(docs, SHINGLE, SIMILAR, keep=("_a", "_b")).where("component is not null")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "_a", "_b")).alias("_first"))
+    chosen = docs.join(first.select("_first._a", "_first._b"), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
     wordless = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return chosen.dropDuplicates(["_row"]).select(*COLUMNS).unionByName(wordless)
+    return chosen.unionByName(wordless).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
