@@ -82,9 +82,9 @@ def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, mixed from all sources; how many words of each the mix takes."""
-    rows, _ = source_mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    """All documents, mixed from all sources; how many words of each the mix takes, where first and in how many rounds."""
+    rows, _, _ = source_mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position", "epochs")
 
 
 QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_maxscore, op3_toxicity, op4_license_scan, op5_ngram_join, op6_histogram_sort, op7_byte_bpe, op8_suffix_dedup, op9_embedding_join, op10_source_mix)}

@@ -127,7 +127,7 @@ def test_source_mix(spark, texts):
     every = texts * 2
     sources = ["big", "big", "big", "Z", "é", None, "tiny"]
     docs = documents(spark, every, sources)
-    rows, slots = source_mix.source_mix(docs, block_words=64)
+    rows, parts, slots = source_mix.source_mix(docs, block_words=64)
     got = rows.collect()
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, words(t)) for i, t in enumerate(every))
@@ -144,12 +144,41 @@ def test_source_mix(spark, texts):
         assert abs(taken[s] - target[s]) <= max(64, 0.01 * target[s])
     again = source_mix.source_mix(docs.repartition(7), block_words=64)[0].select("doc_id", "taken").collect()
     assert sorted(map(tuple, again)) == sorted((r["doc_id"], r["taken"]) for r in got)
+    whole = Counter()
+    for r in parts.collect():
+        whole[r["doc_id"], r["src"]] += r["words"]
+        assert 0 < r["words"] <= r["size"]
+    assert {k: n for k, n in whole.items() if n} == {(r["doc_id"], r["src"]): r["taken"] for r in got if r["taken"]}
+    # each point of the sequence falls into one source's stretch; ranks follow the order of the sequence
+    mix = sorted(slots.collect(), key=lambda r: r["position"])
+    stretches = [k for k, n in sorted(Counter((r["src_null"], r["src"]) for r in mix).items()) for _ in range(n)]
+    bits, ranks, brute = (len(mix) - 1).bit_length(), Counter(), []
+    for i in range(1 << bits):
+        point = int(f"{i:0{bits}b}"[::-1], 2)
+        if point < len(stretches):
+            brute.append((*stretches[point], i, ranks[stretches[point]]))
+            ranks[stretches[point]] += 1
+    assert [(r["src_null"], r["src"], r["position"], r["rank"]) for r in mix] == brute
     # any stretch of the mix holds the sources near their shares
-    order = [r["src"] for r in slots.orderBy("position").collect()]
+    order = [r["src"] for r in mix]
     half = Counter(order[: len(order) // 2])
     assert all(abs(half[s] - n / 2) <= 2 + 0.02 * len(order) for s, n in Counter(order).items())
 
 
+def test_the_sequence_says_when_documents_are_met(spark, texts, monkeypatch):
+    docs, real = documents(spark, texts, ["big", "big", "Z", None]), source_mix.schedule
+    columns = ["doc_id", "taken", "first_position", "epochs"]
+    rows = lambda: sorted(map(tuple, source_mix.source_mix(docs, block_words=64)[0].select(columns).collect()))
+    mine = rows()
+
+    def plain(plan, slots):
+        order = source_mix.W.orderBy("src_null", "src", "rank")
+        return real(plan, slots).withColumn("position", F.row_number().over(order).cast("long"))
+
+    monkeypatch.setattr(source_mix, "schedule", plain)
+    assert sum(a != b for a, b in zip(mine, rows(), strict=True)) > len(texts) / 2
+
+
 def test_source_mix_of_nothing(spark):
     assert source_mix.source_mix(documents(spark, []))[0].count() == 0
     rows = source_mix.source_mix(documents(spark, [None, "", "\t"], ["a"]))[0].collect()

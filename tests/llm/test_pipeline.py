@@ -111,7 +111,7 @@ def brute_mix(spark, rows):
         whole, part = divmod(taken[d], len(ws)) if ws else (0, 0)
         out += [(d, t, lang, source, len(t or ""))] * whole
         if part:
-            some = " ".join(ws[:part])
+            some = "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t)[:part])
             out.append((d, some, lang, source, len(some)))
     return out
 
@@ -161,7 +161,10 @@ def test_mix_sources(spark, corpus):
     want = brute_mix(spark, rows)
     by_id = {x[0]: x[1] for x in rows}
     assert any(n > 1 for n in Counter(map(tuple, want)).values()) and any(t != by_id[d] for d, t, *_ in want)
-    same(pipe.mix_sources(spark, frame(spark, rows), ""), want)
+    mixed = pipe.mix_sources(spark, frame(spark, rows), "")
+    same(mixed, want)
+    places = [(x["position"], x["doc_id"]) for x in source_mix.source_mix(frame(spark, rows))[1].collect()]
+    assert [x["doc_id"] for x in mixed.collect()] == [d for _, d in sorted(places, key=lambda x: (x[0], x[1] is None, x[1]))]
 
 
 def test_encode(spark, corpus, library):
