@@ -58,17 +58,17 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text as often as the mix takes it whole, and once more its first words if the mix's last round ends in it
-    (with single spaces between them). Rows of which the mix takes nothing go; equal rows are mixed as one."""
-    docs = docs.select(*COLUMNS)
-    rows, _ = mix.source_mix(docs)
-    taken = rows.groupBy("row").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    met = docs.withColumn("row", mix.row_hash("doc_id", "source", "text")).join(taken, "row").dropDuplicates(["row"])
-    each = met.withColumn("_left", F.explode(F.expr("transform(sequence(0L, (_taken - 1) div _size), k -> least(_size, _taken - k * _size))")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    part = F.array_join(F.slice(words, 1, F.col("_left").cast("int")), " ")
-    text = F.when(F.col("_left") == F.col("_size"), F.col("text")).otherwise(part)
-    return each.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """The mix, in its order: each text once for each round of its source that takes it, where the mix first meets it;
+    whole, or up to its last word that is taken if the mix ends in it. Rows of which the mix takes nothing go, those
+    without words among them. Equal rows are mixed each. A text of any length is one row of a round; no rows give none."""
+    docs = row_name(docs.select(*COLUMNS))
+    _, parts, _ = mix.source_mix(docs, keep=("_a", "_b"))
+    each = docs.dropDuplicates(["_a", "_b"]).join(parts.select("_a", "_b", "words", "size", "position", "epoch"), ["_a", "_b"])
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)  # with what is before them
+    part = F.array_join(F.slice(words, 1, F.col("words").cast("int")), "")
+    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part)
+    each = each.withColumn("n_chars", F.when(F.col("words") == F.col("size"), F.col("n_chars")).otherwise(F.length(text).cast("long"))).withColumn("text", text)
+    return each.orderBy("position", "doc_id", "epoch").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
