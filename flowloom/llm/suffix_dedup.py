@@ -111,8 +111,8 @@ class _Chunk:
         self.anchor, self.content, self.start, self.count = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(4))
         self.doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f[0]) for f in found])
         self.share = (self.anchor % _U(shares)).astype(np.int32)
-        # 48 bits each say enough: a wrong equality needs both to agree by chance
-        self.anchor, self.content = self.anchor >> _U(16), self.content >> _U(16)
+        # 48 bits tell anchors apart, 64 the contents under one anchor: a wrong equality needs both to agree by chance
+        self.anchor = self.anchor >> _U(16)
         by = np.lexsort((self.content, self.anchor, self.share))
         self.anchor, self.content, self.start, self.count, self.doc, self.share = (x[by] for x in (self.anchor, self.content, self.start, self.count, self.doc, self.share))
         changed = (self.share[1:] != self.share[:-1]) | (self.anchor[1:] != self.anchor[:-1]) | (self.content[1:] != self.content[:-1])
@@ -192,7 +192,7 @@ def _request(shares: int):
                     rows = c.first[a:b]
                     docs, which = np.unique(c.doc[rows], return_inverse=True)
                     kind = "<u2" if len(docs) <= 1 << 16 else "<u4"
-                    out.append((share, number, _squeeze(_planes(c.anchor[rows], 6), _planes(c.content[rows], 6), which.astype(kind).tobytes(), c.ids[docs].astype("<i8").tobytes())))
+                    out.append((share, number, _squeeze(_planes(c.anchor[rows], 6), _planes(c.content[rows], 8), which.astype(kind).tobytes(), c.ids[docs].astype("<i8").tobytes())))
                 yield _rows(out, (pa.int32(), pa.int64(), pa.binary()), ("share", "chunk", "asked"))
 
     return run
@@ -214,7 +214,7 @@ def _answer(table: pa.Table) -> pa.Table:
         n = len(anchor) // 6
         which = which.view("<u2" if len(which) == 2 * n else "<u4")
         anchors.append(_from_planes(anchor, 6))
-        contents.append(_from_planes(content, 6))
+        contents.append(_from_planes(content, 8))
         docs.append(ids.view("<i8")[which])
         lengths.append(n)
     anchor, content, doc = np.concatenate(anchors), np.concatenate(contents), np.concatenate(docs)
