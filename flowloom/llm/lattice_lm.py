@@ -4,12 +4,11 @@ A unigram model over the pieces of an existing vocabulary gives a text the sum,
 pieces, of the products of the pieces' probabilities: a forward recursion in log space over the text's positions. A word
 carries the space before it, and no piece has a space inside, so every segmentation cuts between words; a text's sum
 is the product of its words' sums and of the end's probability, and a word's sum is worked out once in the corpus.
-A word that was learned is one more edge of its own lattice, from its start to its end, with the share of its count; the
-edges of pieces have the share that words met once have among all (the chance that a word is new).
 
-The vocabulary stays as it is. Its order gives the first weights (Zipf's law); rounds of expectation maximisation
-over the words of the training texts, all of them with their counts, give the weights that score. There each word's own
-edge counts as if one of its occurrences were missing, so the pieces learn from what is rare.
+The vocabulary stays as it is. The scores in its file are ranks only (a piece's is minus its place), so the first weights
+follow its order (Zipf's law); rounds of expectation maximisation over the words of the training texts, all of them with
+their counts, weigh the same pieces, and the end, by how often the training texts need them. No word has an edge of its
+own: the score is the lattice's alone.
 
 Words move in packed lists: a chunk of documents names each of its different words once for each share of the words;
 the share adds up their training counts and answers with counts and scores. No list of words goes to the driver or to
@@ -149,10 +148,9 @@ class Lattice:
                 beta[start] = a + math.log1p(math.exp(b - a)) if b > -math.inf else a
         return alpha[n]
 
-    def scores(self, words: list[bytes], counts: np.ndarray | None = None, weigh=None) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, words: list[bytes], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The words' log probabilities (natural), each with a space before it; with counts also how often each piece is
-        expected in so many words, which ``weigh`` (of the log probabilities and the counts) may change first."""
-        weigh = weigh or (lambda logs, counts: counts)
+        expected in so many words."""
         out, into = np.zeros(len(words)), np.zeros(len(self.pieces) + 1)
         lengths = np.array([len(w) + 1 for w in words], np.int64)
         for size in np.unique(lengths).tolist():
@@ -161,7 +159,7 @@ class Lattice:
                 for r in rows:
                     out[r] = self._long(b" " + words[r], None, None)
                     if counts is not None:
-                        self._long(b" " + words[r], weigh(out[r], counts[r]), into)
+                        self._long(b" " + words[r], counts[r], into)
                 continue
             step = max(1, CELLS // (size * 8))
             for k in range(0, len(rows), step):
@@ -171,7 +169,7 @@ class Lattice:
                 alpha = self._forward(cells, len(some), size)
                 out[some] = alpha[size]
                 if counts is not None:
-                    self._expected(cells, alpha, len(some), size, weigh(out[some], counts[some]), into)
+                    self._expected(cells, alpha, len(some), size, counts[some], into)
         return out, into[:-1]
 
 
@@ -238,46 +236,19 @@ def _count(table: pa.Table) -> pa.Table:
             total[w] += c
     words = sorted(total)
     counts = np.array([total[w] for w in words], "<i8")
-    ends = total.get(END, 0)
-    return pa.table({"share": table.column("share")[:1], "words": pa.array([_join(words)], pa.binary()), "counts": pa.array([_numbers(counts)], pa.binary()), "n": pa.array([len(words)], pa.int32()), "tokens": pa.array([int(counts.sum())], pa.int64()), "kinds": pa.array([int((counts > 0).sum())], pa.int64()), "ends": pa.array([ends], pa.int64()), "once": pa.array([int((counts == 1).sum()) - (ends == 1)], pa.int64())})
+    return pa.table({"share": table.column("share")[:1], "words": pa.array([_join(words)], pa.binary()), "counts": pa.array([_numbers(counts)], pa.binary()), "n": pa.array([len(words)], pa.int32()), "tokens": pa.array([int(counts.sum())], pa.int64()), "kinds": pa.array([int((counts > 0).sum())], pa.int64()), "ends": pa.array([total.get(END, 0)], pa.int64())})
 
 
-class Mixture:
-    """The shares of learned words and of the lattice in a word's probability, and the probability of the end."""
-
-    def __init__(self, total: int, ends: int, once: int):
-        self.words = total - ends
-        self.new = min(1.0, (once + 1) / (self.words + 2)) if self.words else 1.0
-        self.end = (ends + 0.5) / (total + 1)
-
-    def new_share(self, logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """How much of the counts the lattice has to explain, with one occurrence of each word missing."""
-        spelled = self.new * np.exp(logs)
-        return counts * spelled / (spelled + (1 - self.new) * (counts - 1) / max(1, self.words) + 1e-300)
-
-    def log(self, logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            own = np.log((1 - self.new) * counts / max(1, self.words))
-        return math.log(1 - self.end) + np.logaddexp(own, math.log(self.new) + logs)
-
-
-def _expect(lattice, stop: float, mixture: Mixture):
+def _expect(lattice):
     def run(batches):
-        """One task's expected counts of all pieces (the last: of words' ends), packed in parts of PART pieces."""
+        """One task's expected counts of all pieces, packed in parts of PART pieces."""
         model = lattice.value
-        total = np.zeros(len(model.pieces) + 1)
-
-        def weigh(logs, c):
-            w = mixture.new_share(logs + stop, c)
-            total[-1] += np.sum(w)
-            return w
-
+        total = np.zeros(len(model.pieces))
         for batch in batches:
             for words, counts, n in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words, counts = _split(words.as_py()), _from_numbers(counts.as_py(), n, "<i8")
                 some = [i for i, w in enumerate(words) if w and counts[i] > 0]
-                _, expected = model.scores([words[i] for i in some], counts[some].astype(np.float64), weigh)
-                total[:-1] += expected
+                total += model.scores([words[i] for i in some], counts[some].astype(np.float64))[1]
         if total.any():
             parts = [total[i : i + PART].tobytes() for i in range(0, len(total), PART)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
@@ -291,14 +262,14 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def _reply(lattice, stop: float, mixture: Mixture):
+def _reply(lattice, end: float):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         n = known.column("n")[0].as_py()
         words, counts = _split(known.column("words")[0].as_py()), _from_numbers(known.column("counts")[0].as_py(), n, "<i8")
-        scores = mixture.log(lattice.value.scores(words)[0] + stop, counts)
+        scores = lattice.value.scores(words)[0]
         at = {w: i for i, w in enumerate(words)}
         if END in at:
-            scores[at[END]] = math.log(mixture.end)
+            scores[at[END]] = end
         out = []
         for chunk, share, blob in zip(asked.column("chunk").to_pylist(), asked.column("share").to_pylist(), asked.column("words"), strict=True):
             rows = np.array([at[w] for w in _split(blob.as_py())])
@@ -340,8 +311,9 @@ def lattice_scores(docs: DataFrame, learn: Column, pieces: dict[bytes, float], t
 
     Tokens are the words and one end. ``learn`` says which rows are learned from (null: no). base_score is the log10
     probability by the training counts of whole words, score that of the lattices. Null and empty texts are an end
-    alone. Without rows to learn from, the pieces keep their first weights and the end has that of a piece. Repeated
-    rows count, and are scored, each time. An empty table stays empty; columns of docs not used are not read.
+    alone. Without rows to learn from, the pieces keep their first weights and the end has that of the first piece. Texts
+    of any length are scored whole, words of any length too. Repeated rows count, and are scored, each time. An empty
+    table stays empty; columns of docs not used are not read.
     """
     spark = docs.sparkSession
     slim = docs.select(docs[text].cast("string").alias("text"), docs[doc].cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -350,23 +322,23 @@ def lattice_scores(docs: DataFrame, learn: Column, pieces: dict[bytes, float], t
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE_BYTES))
     blobs = chunks.select("chunk", "blob")
     asked = materialize(blobs.mapInArrow(_ask(shares), spark_schema(share="int", chunk="long", words="binary", counts="binary", n="int")), "none")
-    known = materialize(asked.groupBy("share").applyInArrow(_count, spark_schema(share="int", words="binary", counts="binary", n="int", tokens="long", kinds="long", ends="long", once="long")), "none")
-    total, kinds, ends, once = (x or 0 for x in known.agg(*[F.sum(c) for c in ("tokens", "kinds", "ends", "once")]).first())
-    mixture = Mixture(total, ends, once)
+    known = materialize(asked.groupBy("share").applyInArrow(_count, spark_schema(share="int", words="binary", counts="binary", n="int", tokens="long", kinds="long", ends="long")), "none")
+    total, kinds, ends = (x or 0 for x in known.agg(*[F.sum(c) for c in ("tokens", "kinds", "ends")]).first())
 
     names = sorted(pieces)
-    weights = np.append([pieces[p] for p in names], sum(pieces.values()) / 3)  # the last: the end of a word
+    weights = np.append([pieces[p] for p in names], max(pieces.values(), default=1.0))  # the last: the end of a text
     for left in range(rounds if total else 0, -1, -1):
         logs = np.log(weights / weights.sum())
-        lattice, stop = spark.sparkContext.broadcast(Lattice(names, logs[:-1])), float(logs[-1])
+        lattice, end = spark.sparkContext.broadcast(Lattice(names, logs[:-1])), float(logs[-1])
         if not left:
             break
         packed = spark_schema(part="int", sums="binary")
-        sums = known.select("words", "counts", "n").mapInArrow(_expect(lattice, stop, mixture), packed).groupBy("part").applyInArrow(_add, packed)
+        sums = known.select("words", "counts", "n").mapInArrow(_expect(lattice), packed).groupBy("part").applyInArrow(_add, packed)
         weights = np.full(len(names) + 1, PRIOR)
+        weights[-1] += ends
         for r in sums.collect():  # a number for each piece of the vocabulary
             found = np.frombuffer(r["sums"], "<f8")
             weights[r["part"] * PART : r["part"] * PART + len(found)] += found
-    told = asked.select("share", "chunk", "words").groupBy("share").cogroup(known.select("share", "words", "counts", "n").groupBy("share")).applyInArrow(_reply(lattice, stop, mixture), spark_schema(chunk="long", share="int", counts="binary", logs="binary", n="int"))
+    told = asked.select("share", "chunk", "words").groupBy("share").cogroup(known.select("share", "words", "counts", "n").groupBy("share")).applyInArrow(_reply(lattice, end), spark_schema(chunk="long", share="int", counts="binary", logs="binary", n="int"))
     scored = blobs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(shares, total, kinds), spark_schema(doc_id="long", n_tokens="long", n_known="long", base_score="double", score="double"))
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

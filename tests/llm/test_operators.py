@@ -435,8 +435,46 @@ def test_lattice_against_all_segmentations():
     assert into[:-1] == pytest.approx(want_expected)
 
 
+def brute_marginals(texts, counts, pieces, rounds=lattice_lm.ROUNDS):
+    """log10 probabilities over all segmentations, of texts as lists of words that None ends; a word at a time, by plain
+    sums of probabilities, after the same rounds over the counted words."""
+    weights, end = dict(pieces), max(pieces.values())
+    longest = max(map(len, pieces))
+
+    def forward(t, p):
+        alpha = [1.0] + [0.0] * len(t)
+        for j in range(1, len(t) + 1):
+            alpha[j] = sum(alpha[i] * p.get(t[i:j], 0.0) for i in range(max(0, j - longest), j))
+        return alpha
+
+    for left in range(rounds if counts else 0, -1, -1):
+        total = sum(weights.values()) + end
+        p = {k: v / total for k, v in weights.items()}
+        if not left:
+            break
+        got = Counter()
+        for w, c in counts.items():
+            if w is None:
+                continue
+            t = b" " + w
+            alpha, beta = forward(t, p), [0.0] * len(t) + [1.0]
+            for i in range(len(t) - 1, -1, -1):
+                beta[i] = sum(p.get(t[i:j], 0.0) * beta[j] for j in range(i + 1, min(len(t), i + longest) + 1))
+            for i in range(len(t)):
+                for j in range(i + 1, min(len(t), i + longest) + 1):
+                    if t[i:j] in p:
+                        got[t[i:j]] += c * alpha[i] * p[t[i:j]] * beta[j] / beta[0]
+        weights = {k: lattice_lm.PRIOR + got[k] for k in weights}
+        end = lattice_lm.PRIOR + counts[None]
+    of = {}
+    for w in {w for ws in texts for w in ws if w is not None}:
+        of[w] = math.log10(forward(b" " + w, p)[-1])
+    return [sum(of[w] if w is not None else math.log10(end / total) for w in ws) for ws in texts]
+
+
 def test_lattice_scores(spark, texts):
     pieces = lattice_lm.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [t if t is None or max(map(len, t.split()), default=0) < 150 else "short" for t in texts]  # plain doubles do not reach farther
     docs = documents(spark, texts)
     learn = toxicity.doc_bucket(F.col("doc_id"), 10) != 0
     got = {r["doc_id"]: r for r in lattice_lm.lattice_scores(docs, learn, pieces).collect()}
@@ -446,12 +484,14 @@ def test_lattice_scores(spark, texts):
         if zlib.crc32(str(i).encode()) % 10:
             counts.update(split(t))
     total, kinds = sum(counts.values()), len(counts)
+    want = brute_marginals([split(t) for t in texts], counts, pieces)
     for i, t in enumerate(texts):
         ws = split(t)
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(counts[w] > 0 for w in ws), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws))
         assert math.isfinite(r["score"]) and r["score"] < 0
+        assert r["score"] == pytest.approx(want[i], rel=1e-6)
     assert lattice_lm.lattice_scores(documents(spark, []), learn, pieces).count() == 0
     untaught = lattice_lm.lattice_scores(docs.limit(3), F.lit(False), pieces).collect()
     assert all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in untaught)
