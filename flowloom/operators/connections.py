@@ -106,13 +106,14 @@ def gap_before(df: DataFrame, part: list[str], order: list[str], start: str, len
 
 
 def overlaps(df: DataFrame, part: list[str], position: str, start: str, length: str) -> DataFrame:
-    """part, first, second, kind of every two fragments that overlap on the circle: conflicting (same start) or partial.
+    """part, first, second, kind of every two fragments that overlap on the circle: conflicting (same start) or partial. Empty ones overlap with nothing.
 
     The join is by connection and direction, whose fragments a recorder's limits bound.
     """
     a = df.select(*part, F.col(position).alias("first"), F.col(start).alias("_s"), F.col(length).alias("_n"))
     b = df.select(*part, F.col(position).alias("second"), F.col(start).alias("_t"), F.col(length).alias("_m"))
-    touch = (wrapping_minus(F.col("_t"), F.col("_s")) < F.col("_n")) | (wrapping_minus(F.col("_s"), F.col("_t")) < F.col("_m"))
+    near = (wrapping_minus(F.col("_t"), F.col("_s")) < F.col("_n")) | (wrapping_minus(F.col("_s"), F.col("_t")) < F.col("_m"))
+    touch = (F.col("_n") > 0) & (F.col("_m") > 0) & near
     met = a.join(b, part).where((F.col("first") < F.col("second")) & touch)
     return met.select(*part, "first", "second", F.when(F.col("_s") == F.col("_t"), "conflicting").otherwise("partial").alias("kind"))
 
@@ -130,13 +131,36 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_span: t
     return l_.join(r_, [*on, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest(low(a), low(c)))).drop("_bucket")
 
 
+def counts_below(points: DataFrame, values: DataFrame, on: list[str], at: str, value: str, width: int) -> DataFrame:
+    """points with ``below``: how many rows of values with the same ``on`` are less than ``at``. Buckets of ``width`` are
+    counted and summed up, and rows are ranked inside one bucket only, so no pairs are made and no key is one task."""
+    mine = points.select(*on, F.col(at).alias("_at"), F.lit(0).alias("_n"), F.struct(*points.columns).alias("_row"))
+    line = mine.unionByName(values.select(*on, F.col(value).alias("_at"), F.lit(1).alias("_n")), allowMissingColumns=True).withColumn("_bucket", F.expr(f"_at div {width}"))
+    before = F.sum("_sum").over(W.partitionBy(*on).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    base = line.groupBy(*on, "_bucket").agg(F.sum("_n").alias("_sum")).select(*on, "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
+    inside = F.sum("_n").over(W.partitionBy(*on, "_bucket").orderBy("_at", "_n").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return line.withColumn("_inside", inside).where("_row is not null").join(base, [*on, "_bucket"]).select("_row.*", (F.col("_inside") + F.col("_base")).alias("below"))
+
+
 def classify_losses(spans: DataFrame, losses: DataFrame, conn: list[str], width: int) -> DataFrame:
-    """conn, overlaps, unknown: known losses on the connection's clock that overlap it, and windows of unknown size there.
+    """conn, overlaps, outside, unknown, reset, clock_mismatch: how many of all loss windows are what to each connection.
 
-    spans: conn, clock, first_ns, last_ns. losses: clock, start_ns, end_ns, drop_delta (null: unknown).
+    spans: conn, clock, first_ns, last_ns. losses: clock, end_clock, start_ns, end_ns, drop_delta (null: unknown), reason.
+    A window between two clocks is a mismatch; one of unknown size is a reset if its reason speaks of a generation or of
+    counters that regressed, else unknown, wherever it lies; a known one on a clock that the connection has no event of
+    is a mismatch, else it overlaps the connection's span or lies outside.
     """
-    met = interval_join(spans, losses, ["clock"], ("first_ns", "last_ns"), ("start_ns", "end_ns"), width)
-    return met.groupBy(*conn).agg(F.count_if(F.col("drop_delta").isNotNull()).alias("overlaps"), F.count_if(F.col("drop_delta").isNull()).alias("unknown"))
+    reset = F.coalesce(F.col("reason").rlike("generation|regressed"), F.lit(False))
+    kind = F.when(F.col("clock") != F.col("end_clock"), "clock_mismatch").when(F.col("drop_delta").isNull(), F.when(reset, "reset").otherwise("unknown")).otherwise("known")
+    told = losses.withColumn("_kind", kind)
+    totals = told.agg(*[F.count_if(F.col("_kind") == k).alias(f"_{k}") for k in ("clock_mismatch", "reset", "unknown", "known")])
+    known = told.where("_kind = 'known'")
+    on_clock = known.groupBy("clock").agg(F.count("*").alias("_all"))
+    early = counts_below(spans, known, ["clock"], "first_ns", "end_ns", width).withColumnRenamed("below", "_early")
+    late = counts_below(early.withColumn("_after", F.col("last_ns") + 1), known, ["clock"], "_after", "start_ns", width)
+    mine = late.join(on_clock, "clock", "left").groupBy(*conn).agg(F.coalesce(F.sum("_all"), F.lit(0)).alias("_mine"), F.sum(F.col("below") - F.col("_early")).alias("overlaps"))
+    both = mine.join(F.broadcast(totals))  # one row
+    return both.select(*conn, "overlaps", (F.col("_mine") - F.col("overlaps")).alias("outside"), F.col("_unknown").alias("unknown"), F.col("_reset").alias("reset"), (F.col("_clock_mismatch") + F.col("_known") - F.col("_mine")).alias("clock_mismatch"))
 
 
 def affected_by_terminal_loss(events: DataFrame, losses: DataFrame, conn: list[str], clock: str, ns: str, width: int) -> DataFrame:
@@ -191,8 +215,10 @@ def direction(role: Column, flow: Column) -> Column:
 
 
 def termination(df: DataFrame, conn: list[str], lost: Column, reset: Column, closed: Column) -> DataFrame:
-    """conn, termination: unknown with any loss, else reset, else closed, else open."""
-    return df.groupBy(*conn).agg(F.when(F.max(lost), "unknown").when(F.max(reset), "reset").when(F.max(closed), "closed").otherwise("open").alias("termination"))
+    """conn, termination: unknown with any loss window that is not outside, else reset, else clean_close; unknown again
+    where the connection was not seen to end."""
+    seen = F.when(F.max(lost), "unknown").when(F.max(reset), "reset").when(F.max(closed), "clean_close").otherwise("unknown")
+    return df.groupBy(*conn).agg(seen.alias("termination"))
 
 
 def terminal_loss_summary(df: DataFrame, clock: str, ns: str, size: Column) -> DataFrame:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 # Methods by effect, headers that are not sent on, headers that are not compared.
 READS = ("GET", "HEAD", "OPTIONS")
 WRITES = ("POST", "PUT", "PATCH", "DELETE")
-NOT_SENT = ("connection", "keep-alive", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade", "authorization", "proxy-authorization", "cookie", "forwarded", "x-forwarded-for", "x-forwarded-host", "x-forwarded-proto", "host", "content-length")
+NOT_SENT = ("connection", "keep-alive", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade", "authorization", "proxy-authorization", "cookie", "forwarded", "expect", "host", "content-length")
+NOT_SENT_PREFIX = "x-forwarded-"
 NOT_COMPARED = ("date", "server", "content-length", "connection", "transfer-encoding", "keep-alive", "set-cookie")
 
 
@@ -33,22 +30,16 @@ def pair_by_rank(df: DataFrame, conn: list[str], sequence: str, is_request: Colu
 
 def pair_fifo(df: DataFrame, conn: str, sequence: str, kind: str) -> DataFrame:
     """conn, request, response, state (paired, orphan_response, unmatched_request): a queue per connection. A response
-    takes the oldest request that waits; one that finds none is an orphan. kind holds request and response."""
-    schema = T.StructType([df.schema[conn], T.StructField("request", T.LongType()), T.StructField("response", T.LongType()), T.StructField("state", T.StringType())])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        waiting, out = deque(), []
-        for s, k in rows.sort_values(sequence)[[sequence, kind]].itertuples(index=False):
-            if k == "request":
-                waiting.append(s)
-            elif waiting:
-                out.append((key[0], waiting.popleft(), s, "paired"))
-            else:
-                out.append((key[0], None, s, "orphan_response"))
-        out += [(key[0], s, None, "unmatched_request") for s in waiting]
-        return pd.DataFrame(out, columns=[conn, "request", "response", "state"]).astype({"request": "Int64", "response": "Int64"})
+    takes the oldest request that waits; one that finds none is an orphan. kind holds request and response.
 
-    return df.where(F.col(kind).isin("request", "response")).select(conn, sequence, kind).groupBy(conn).applyInPandas(run, schema)
+    Without its orphans, the k-th response takes the k-th request; ``fifo_states`` tells the orphans."""
+    asks = F.col(kind) == "request"
+    rows = fifo_states(df.where(F.col(kind).isin("request", "response")).select(conn, sequence, kind), [conn], sequence, asks, F.col(kind) == "response")
+    rank = F.row_number().over(W.partitionBy(conn, kind, "orphan").orderBy(sequence))
+    place = F.struct("orphan", rank.alias("rank"))
+    met = rows.withColumn("_place", place).groupBy(conn, "_place").agg(F.max(F.when(asks, F.col(sequence))).alias("request"), F.max(F.when(~asks, F.col(sequence))).alias("response"))
+    state = F.when(F.col("response").isNull(), "unmatched_request").when(F.col("request").isNull(), "orphan_response").otherwise("paired")
+    return met.select(conn, "request", "response", state.alias("state"))
 
 
 def fifo_states(df: DataFrame, conn: list[str], sequence: str, is_request: Column, is_response: Column) -> DataFrame:
@@ -105,13 +96,14 @@ def first_rule(operations: DataFrame, rules: DataFrame, key: str, fields: list[s
 
 
 def sanitized_headers(headers: Column, host: Column, length: Column) -> Column:
-    """Headers (array of name, value) that may be sent on: no hop-by-hop, credential or forwarding ones, none that
-    Connection names; Host and Content-Length are set."""
+    """Headers (array of name, value) that may be sent on, names in lower case: Host first, then those that are no
+    hop-by-hop, credential or forwarding ones and that Connection does not name, Content-Length last."""
     lists = F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == "connection"), lambda h: F.lower(h["value"].cast("string")))
     named = F.transform(F.split(F.array_join(lists, ","), ","), lambda t: F.trim(t))
-    kept = F.filter(headers, lambda h: ~F.lower(h["name"]).isin(*NOT_SENT) & ~F.array_contains(named, F.lower(h["name"])))
-    own = F.array(F.struct(F.lit("host").alias("name"), host.cast("binary").alias("value")), F.struct(F.lit("content-length").alias("name"), length.cast("string").cast("binary").alias("value")))
-    return F.concat(own, kept)
+    lower = F.transform(headers, lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
+    kept = F.filter(lower, lambda h: ~h["name"].isin(*NOT_SENT) & ~h["name"].startswith(NOT_SENT_PREFIX) & ~F.array_contains(named, h["name"]))
+    one = lambda name, value: F.array(F.struct(F.lit(name).alias("name"), value.cast("binary").alias("value")))
+    return F.concat(one("host", host), kept, one("content-length", length.cast("string")))
 
 
 def comparable_headers(headers: Column) -> Column:

@@ -70,10 +70,12 @@ def batch_cut(df: DataFrame, part: list[str], sequence: str, is_marker: Column,
     return cut.select(*part, chosen[sequence].alias("cut"), chosen["_seen"].alias("new_records"))
 
 
-def lag_report(df: DataFrame, part: list[str], sequence: str, size: Column, at: Column, cursor: Column, now: Column) -> DataFrame:
-    """part, records, bytes, oldest_age: what stands after the cursor, and how long its first row has waited (never under 0)."""
-    late = F.col(sequence) > cursor
-    return df.groupBy(*part).agg(F.count_if(late).alias("records"), F.coalesce(F.sum(F.when(late, size)), F.lit(0)).alias("bytes"), F.greatest(now - F.min_by(F.when(late, at), F.when(late, F.col(sequence))), F.lit(0)).alias("oldest_age"))
+def lag_report(df: DataFrame, part: list[str], sequence: str, size: Column, is_marker: Column, committed: Column, created: Column, cursor: Column, now: Column) -> DataFrame:
+    """part, records, bytes, age_seconds: the committed rows after the cursor that are no markers, and how long ago the
+    segment of the first of them was created (created and now in milliseconds; 0 without such rows, and never less)."""
+    late = committed & ~is_marker & (F.col(sequence) > cursor)
+    since = F.greatest(now - F.min_by(F.when(late, created), F.when(late, F.col(sequence))), F.lit(0))
+    return df.groupBy(*part).agg(F.count_if(late).alias("records"), F.coalesce(F.sum(F.when(late, size)), F.lit(0)).alias("bytes"), F.coalesce(F.floor(since / 1000), F.lit(0)).alias("age_seconds"))
 
 
 def keep_last(df: DataFrame, key: list[str], position: list[str]) -> DataFrame:
@@ -100,11 +102,11 @@ def reopen_preview(df: DataFrame, part: list[str], sequence: str, size: Column,
 
 
 def retention_candidates(df: DataFrame, part: list[str], order: list[str], size: str, limit: int | None, old_enough: Column) -> DataFrame:
-    """Rows that may go, oldest first, while what remains is over the limit (without one: all that are old enough)."""
+    """Rows that may go, oldest first, while what remains of those old enough is over the limit (without one: all)."""
+    old = df.where(old_enough)
     order_by = W.partitionBy(*part).orderBy(*order)
-    before = F.coalesce(F.sum(F.when(old_enough, F.col(size))).over(order_by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum(size).over(_all(W.partitionBy(*part))) - before
-    marked = df.withColumn("remaining", left).where(old_enough)
+    before = F.coalesce(F.sum(size).over(order_by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = old.withColumn("remaining", F.sum(size).over(_all(W.partitionBy(*part))) - before)
     return marked if limit is None else marked.where(F.col("remaining") > limit)
 
 

@@ -21,10 +21,12 @@ def merge_catalog(sources: list[DataFrame], key: list[str], fields: list[str]) -
     return rows.groupBy(*key).agg(*[first(f) for f in fields], F.array_sort(F.collect_set("_source")).alias("found_in"))
 
 
-def reconcile_status(canonical: Column, wal_incomplete: Column, wal_present: Column, advisory: Column) -> Column:
-    """A published session decides; an incomplete log is incomplete; a log without a session keeps the advisory status
-    unless that says it still runs; without either the advisory status stands, or the recording is missing."""
-    return F.when(canonical.isNotNull(), canonical).when(wal_present & wal_incomplete, "incomplete").when(wal_present, F.when(advisory.isin("starting", "running"), "aborted").otherwise(F.coalesce(advisory, F.lit("aborted")))).otherwise(F.coalesce(advisory, F.lit("missing")))
+def reconcile_status(published: Column, log_incomplete: Column, log_present: Column, advisory: Column) -> Column:
+    """What the stored session and the log say, before the catalog's advisory status: a published session stands unless its
+    log is incomplete; a log without one can be recovered, unless the catalog claims that it was published; without either
+    the catalog's status holds, and a recording that nothing is known of is in progress."""
+    with_log = F.when(advisory.eqNullSafe("published"), "inconsistent").otherwise("recoverable")
+    return F.when(published, F.when(log_incomplete, "inconsistent").otherwise("published")).when(log_present, with_log).otherwise(F.coalesce(advisory, F.lit("in_progress")))
 
 
 def index_by_two_keys(df: DataFrame, first: str, second: str, order: list[str]) -> DataFrame:
@@ -69,20 +71,38 @@ def merge_sessions(df: DataFrame, parent: list[str], order: list[str], start: st
 
 
 def epoch_chain(df: DataFrame, parent: list[str], ordinal: str, ident: str, previous: str, following: str, active: str) -> DataFrame:
-    """parent, violations: ordinals that skip, links that are not mutual, and another number of active epochs than one."""
-    w = W.partitionBy(*parent).orderBy(ordinal)
+    """parent, violations: ordinals that skip, links that are not mutual, and another number of active epochs than one.
+    Epochs of one ordinal stand in the order of their ids."""
+    w = W.partitionBy(*parent).orderBy(ordinal, ident)
     skips = F.coalesce(F.col(ordinal) != F.lag(ordinal).over(w) + 1, F.lit(False))
     linked = df.withColumn("_bad", skips.cast("int") + (~F.col(previous).eqNullSafe(F.lag(ident).over(w))).cast("int") + (~F.col(following).eqNullSafe(F.lead(ident).over(w))).cast("int"))
     return linked.groupBy(*parent).agg((F.sum("_bad") + (F.count_if(active) != 1).cast("int")).alias("violations"))
 
 
-def reconcile_epochs(catalog: DataFrame, evidence: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """key, verdict: authoritative, rebuild (no evidence) or the first field in conflict."""
-    seen = evidence.select(*key, F.lit(True).alias("_here"), *[F.col(f).alias(f"_{f}") for f in fields])
-    verdict = F.when(F.col("_here").isNull(), "rebuild")
-    for f in fields:
-        verdict = verdict.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), f"conflict_{f}")
-    return catalog.join(seen, key, "left").select(*key, verdict.otherwise("authoritative").alias("verdict"))
+#: Evidence that is derived from the epochs and can be built again.
+DERIVED_EVIDENCE = ("run_summary", "checkpoint")
+
+
+def reconcile_epochs(catalog: DataFrame, epochs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """parent, verdict: of each parent of catalog (parent, digest) with epochs (parent, epoch, ordinal, path) and evidence
+    (place, authority, catalog_parent, parent, epoch, ordinal, path, digest), the first error in the order of place, else
+    rebuild_derived if derived evidence has another digest, else authoritative; no evidence is no reason to rebuild.
+
+    catalog_parent says whose catalog is asked; errors are mtime_selection_forbidden, parent_identity_conflict,
+    lineage_fork (no such epoch, or another ordinal or path) and authority_conflict (a digest that is not derived).
+    """
+    known = epochs.select(F.col("parent").alias("catalog_parent"), "epoch", F.col("ordinal").alias("_ordinal"), F.col("path").alias("_path"))
+    seen = evidence.join(catalog.select(F.col("parent").alias("catalog_parent"), F.col("digest").alias("_digest")), "catalog_parent").join(known, ["catalog_parent", "epoch"], "left")
+    other = ~F.col("digest").eqNullSafe(F.col("_digest"))
+    error = (
+        F.when(F.col("authority") == "filesystem_mtime", "mtime_selection_forbidden")
+        .when(~F.col("parent").eqNullSafe(F.col("catalog_parent")), "parent_identity_conflict")
+        .when(~F.col("ordinal").eqNullSafe(F.col("_ordinal")) | ~F.col("path").eqNullSafe(F.col("_path")) | F.col("_ordinal").isNull(), "lineage_fork")
+        .when(other & ~F.col("authority").isin(*DERIVED_EVIDENCE), "authority_conflict")
+    )
+    told = seen.withColumn("_error", error).groupBy("catalog_parent").agg(F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col("place"))).alias("_first"), F.max(other).alias("_other"))
+    verdict = F.coalesce("_first", F.when(F.col("_other"), "rebuild_derived"), F.lit("authoritative"))
+    return catalog.select("parent").join(told.withColumnRenamed("catalog_parent", "parent"), "parent", "left").select("parent", verdict.alias("verdict"))
 
 
 def cap_issues(df: DataFrame, part: list[str], order: list[str], columns: list[str], most: int = MOST_ISSUES) -> DataFrame:
@@ -151,9 +171,10 @@ def content_addressed(df: DataFrame, session: list[str], data: Column) -> DataFr
 
 
 def quota_pressure(free: Column, reserved: Column, quota: Column, least_free: Column, managed: Column) -> Column:
-    """none, recoverable (freeing managed bytes would do) or terminal; subtraction stops at 0."""
-    room = F.least(F.greatest(free - least_free, F.lit(0)), F.greatest(quota - managed, F.lit(0)))
-    return F.when(reserved <= room, "none").when(reserved <= room + managed, "recoverable").otherwise("terminal")
+    """none while the least free space is there and holds what is reserved; under pressure terminal if the managed bytes
+    alone exceed the quota, else recoverable. Subtraction stops at 0."""
+    pressured = (free < least_free) | (reserved > F.greatest(free - least_free, F.lit(0)))
+    return F.when(~pressured, "none").when(managed > quota, "terminal").otherwise("recoverable")
 
 
 def reservation_ledger(df: DataFrame, part: list[str], order: str, delta: str, headroom: Column) -> DataFrame:
@@ -162,8 +183,13 @@ def reservation_ledger(df: DataFrame, part: list[str], order: str, delta: str, h
     return df.withColumn("reserved", F.sum(delta).over(w)).withColumn("fits", F.col("reserved") <= headroom)
 
 
-def recorder_status(owner_live: Column, failed: Column, stopping: Column, ready: Column, degraded: Column) -> Column:
-    return F.when(failed, "failed").when(~owner_live, "stale").when(stopping, "stopping").when(degraded, "degraded").when(ready, "ready").otherwise("starting")
+def recorder_status(lifecycle: Column, health: Column, capture: Column, owner_live: Column) -> Column:
+    """What a recorder's metadata says of it: failed if it failed or its owner is gone while it worked; ready if it runs
+    and captures; starting, recovering, or loading_ebpf while it runs without capturing yet; degraded otherwise."""
+    abandoned = ~owner_live & lifecycle.isin("running", "recovering", "draining")
+    failed = abandoned | (lifecycle == "failed") | (health == "failed")
+    running = lifecycle == "running"
+    return F.when(failed, "failed").when(running & (capture == "ready"), "ready").when(lifecycle.isin("starting", "recovering"), lifecycle).when(running, "loading_ebpf").otherwise("degraded")
 
 
 def illegal_transitions(df: DataFrame, part: list[str], order: str, state: str, allowed: DataFrame) -> DataFrame:
@@ -177,10 +203,15 @@ def stop_reason(fatal: Column, user: Column, source_done: Column, deadline: Colu
     return F.when(fatal, "fatal").when(user, "user").when(source_done & ~attached, "source_completed").when(deadline, "deadline")
 
 
-def worst_status(df: DataFrame, group: list[str], status: str) -> DataFrame:
-    """group, status (fail before warn before pass), exit_code (4 on failure)."""
-    fail, warn = F.max(F.col(status) == "fail"), F.max(F.col(status) == "warn")
-    return df.groupBy(*group).agg(F.when(fail, "fail").when(warn, "warn").otherwise("pass").alias("status"), F.when(fail, 4).otherwise(0).alias("exit_code"))
+def worst_status(df: DataFrame, group: list[str], status: str, required: str) -> DataFrame:
+    """group, status, exit_code of probes: unsupported, else not_checked, if a required one is; warnings if any probe has
+    one, or one that is not required is unsupported or not checked; else supported. The first two exit with 4."""
+    s, must = F.col(status), F.col(required)
+    missing = s.isin("unsupported", "not_checked")
+    unsupported, unchecked = F.max(must & (s == "unsupported")), F.max(must & (s == "not_checked"))
+    warned = F.max((s == "supported_with_warnings") | (~must & missing))
+    worst = F.when(unsupported, "unsupported").when(unchecked, "not_checked").when(warned, "supported_with_warnings").otherwise("supported")
+    return df.groupBy(*group).agg(worst.alias("status"), F.when(unsupported | unchecked, 4).otherwise(0).alias("exit_code"))
 
 
 def uncovered(ranges: DataFrame, rows: DataFrame, part: list[str], first: str, last: str, ordinal: str) -> DataFrame:

@@ -84,35 +84,33 @@ def frame_gap_before(spark, sf_dir):
     return c.gap_before(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_orderkey", F.col("l_linenumber"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS p, (l_linenumber::BIGINT * 1000000000 + l_partkey) % 4294967296 AS s, l_quantity::BIGINT * 20000000 AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3))
+@query("""WITH r AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS p, (l_linenumber::BIGINT * 1000000000 + l_partkey) % 4294967296 AS s, l_quantity::BIGINT // 10 * 200000000 AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3))
     SELECT a.l_orderkey, a.p AS first, b.p AS second, CASE WHEN a.s = b.s THEN 'conflicting' ELSE 'partial' END AS kind FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.p < b.p
-    WHERE (b.s - a.s + 4294967296) % 4294967296 < a.n OR (a.s - b.s + 4294967296) % 4294967296 < b.n""")
+    WHERE a.n > 0 AND b.n > 0 AND ((b.s - a.s + 4294967296) % 4294967296 < a.n OR (a.s - b.s + 4294967296) % 4294967296 < b.n)""")
 def range_overlaps(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
-    rows = rows.select("l_orderkey", F.expr("l_partkey * 10 + l_linenumber").alias("p"), F.expr("(l_linenumber * 1000000000L + l_partkey) % 4294967296").alias("s"), (F.col("q").cast("long") * 20000000).alias("n"))
+    rows = rows.select("l_orderkey", F.expr("l_partkey * 10 + l_linenumber").alias("p"), F.expr("(l_linenumber * 1000000000L + l_partkey) % 4294967296").alias("s"), F.expr("cast(q as long) div 10 * 200000000").alias("n"))
     return c.overlaps(rows, ["l_orderkey"], "p", "s", "n")
 
 
-LOSSES = "SELECT event_type AS clock, epoch_us(ts) AS s, epoch_us(ts) + event_id % 50 * 3600000000 AS t, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS d FROM events WHERE event_id % 10 = 0"
-
-
-#: A loss window from every event.
-ALL_LOSSES = "SELECT event_type AS clock, epoch_us(ts) AS s, epoch_us(ts) + event_id % 50 * 3600000000 AS t, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS d FROM events"
-
-
-def all_losses(spark, sf_dir):
-    return events(spark, sf_dir).select(F.col("event_type").alias("clock"), F.col("us").alias("start_ns"), F.expr(f"us + event_id % 50 * {HOUR}").alias("end_ns"), F.expr("if(event_id % 3 = 0, null, event_id)").alias("drop_delta"))
+#: A loss window from every event; some end on another clock, some are of unknown size.
+LOSSES = """SELECT event_type AS clock, CASE WHEN event_id % 11 = 0 THEN 'other' ELSE event_type END AS clock2, epoch_us(ts) AS s, epoch_us(ts) + event_id % 50 * 3600000000 AS t,
+    CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS d, CASE event_id % 4 WHEN 0 THEN 'counter regressed' WHEN 1 THEN 'new generation' WHEN 2 THEN 'unreadable' END AS reason FROM events"""
 
 
 def losses(spark, sf_dir):
-    return events(spark, sf_dir).where("event_id % 10 = 0").select(F.col("event_type").alias("clock"), F.col("us").alias("start_ns"), F.expr(f"us + event_id % 50 * {HOUR}").alias("end_ns"), F.expr("if(event_id % 3 = 0, null, event_id)").alias("drop_delta"))
+    reason = F.when(F.col("event_id") % 4 == 0, "counter regressed").when(F.col("event_id") % 4 == 1, "new generation").when(F.col("event_id") % 4 == 2, "unreadable")
+    end_clock = F.when(F.col("event_id") % 11 == 0, "other").otherwise(F.col("event_type"))
+    return events(spark, sf_dir).select(F.col("event_type").alias("clock"), end_clock.alias("end_clock"), F.col("us").alias("start_ns"), F.expr(f"us + event_id % 50 * {HOUR}").alias("end_ns"), F.expr("if(event_id % 3 = 0, null, event_id)").alias("drop_delta"), reason.alias("reason"))
 
 
-@query(f"""WITH w AS ({LOSSES}), p AS (SELECT user_id, event_type AS clock, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY 1, 2)
-    SELECT user_id, clock, count(*) FILTER (d IS NOT NULL) AS overlaps, count(*) FILTER (d IS NULL) AS unknown FROM p JOIN w USING (clock) WHERE t >= a AND s <= b GROUP BY 1, 2""")
+@query(f"""WITH w AS ({LOSSES}), p AS (SELECT user_id, event_type AS clock, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM events),
+    x AS (SELECT u.user_id, CASE WHEN w.clock <> clock2 THEN 'clock_mismatch' WHEN d IS NULL AND (contains(reason, 'generation') OR contains(reason, 'regressed')) THEN 'reset' WHEN d IS NULL THEN 'unknown'
+        WHEN p.clock IS NULL THEN 'clock_mismatch' WHEN t < a OR s > b THEN 'outside' ELSE 'overlaps' END AS k, count(*) AS n FROM u CROSS JOIN w LEFT JOIN p ON p.user_id = u.user_id AND p.clock = w.clock GROUP BY 1, 2)
+    SELECT user_id, """ + ", ".join(f"coalesce(sum(n) FILTER (k = '{k}'), 0)::BIGINT AS {k}" for k in ("overlaps", "outside", "unknown", "reset", "clock_mismatch")) + " FROM x GROUP BY 1")
 def interval_loss_join(spark, sf_dir):
     spans = c.connection_spans(events(spark, sf_dir).withColumnRenamed("event_type", "clock"), ["user_id"], "event_id", ["clock"], "us")
-    return c.classify_losses(spans, losses(spark, sf_dir), ["user_id", "clock"], 240 * HOUR)
+    return c.classify_losses(spans, losses(spark, sf_dir), ["user_id"], 240 * HOUR)
 
 
 @query(f"""WITH w AS (SELECT * FROM ({LOSSES}) WHERE clock = 'click') SELECT DISTINCT user_id FROM events e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM w WHERE epoch_us(e.ts) BETWEEN s AND t)""")
@@ -121,19 +119,6 @@ def point_in_interval_semi(spark, sf_dir):
     return c.affected_by_terminal_loss(clicks, losses(spark, sf_dir).where("clock = 'click'"), ["user_id"], "event_type", "us", 24 * HOUR)
 
 
-@query(f"""WITH w AS ({ALL_LOSSES}), p AS (SELECT user_id, event_type AS clock, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY 1, 2)
-    SELECT user_id, clock, count(*) FILTER (d IS NOT NULL) AS overlaps, count(*) FILTER (d IS NULL) AS unknown FROM p JOIN w USING (clock) WHERE t >= a AND s <= b GROUP BY 1, 2""")
-def interval_loss_join_all(spark, sf_dir):
-    spans = c.connection_spans(events(spark, sf_dir).withColumnRenamed("event_type", "clock"), ["user_id"], "event_id", ["clock"], "us")
-    return c.classify_losses(spans, all_losses(spark, sf_dir), ["user_id", "clock"], 240 * HOUR)
-
-
-@query(f"""WITH w AS (SELECT * FROM ({ALL_LOSSES}) WHERE clock = 'click') SELECT DISTINCT user_id FROM events e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM w WHERE epoch_us(e.ts) BETWEEN s AND t)""")
-def point_in_interval_semi_all(spark, sf_dir):
-    clicks = events(spark, sf_dir).where("event_type = 'click'")
-    return c.affected_by_terminal_loss(clicks, all_losses(spark, sf_dir).where("clock = 'click'"), ["user_id"], "event_type", "us", 24 * HOUR)
-
-
 @query("""WITH f AS (SELECT user_id, min(event_id) AS f, min_by(props, event_id) AS p FROM events WHERE event_type = 'signup' GROUP BY 1)
     SELECT event_id, CASE WHEN f < event_id THEN p END AS evidence_props FROM events LEFT JOIN f USING (user_id) WHERE event_type <> 'signup'""")
 def asof_first_evidence(spark, sf_dir):
@@ -166,7 +151,7 @@ def orientation(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", client.alias("client"), server.alias("server"), c.direction(role, flow).alias("direction"))
 
 
-@query("""SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'unknown' WHEN bool_or(l_returnflag = 'A') THEN 'reset' WHEN bool_or(l_linestatus = 'F') THEN 'closed' ELSE 'open' END AS termination FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'unknown' WHEN bool_or(l_returnflag = 'A') THEN 'reset' WHEN bool_or(l_linestatus = 'F') THEN 'clean_close' ELSE 'unknown' END AS termination FROM lineitem GROUP BY 1""")
 def termination(spark, sf_dir):
     return c.termination(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "R", F.col("l_returnflag") == "A", F.col("l_linestatus") == "F")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from flowloom.operators import logs
 from flowloom.plans.catalog import query, table
@@ -50,12 +51,6 @@ def commit_batches(spark, sf_dir):
     return logs.commit_batches(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), mark())
 
 
-@query("SELECT 0::BIGINT AS user_id, 0::BIGINT AS marker WHERE false")
-def marker_violations(spark, sf_dir):
-    batches = logs.commit_batches(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), mark())
-    return logs.check_markers(batches, batches, ["user_id"])
-
-
 #: What markers say of their batches, each in one of six ways: as it is, or with one count wrong or a place missing.
 SAID = f"""SELECT user_id, marker, durable_records + (marker % 6 = 1)::INT AS r, durable_bytes - (marker % 6 = 2)::INT AS b,
     CASE WHEN marker % 6 <> 3 THEN batch_first END AS f, batch_last + (marker % 6 = 4)::INT AS l FROM ({BATCHES})"""
@@ -83,10 +78,13 @@ def batch_cut(spark, sf_dir):
     return logs.batch_cut(events(spark, sf_dir), ["user_id"], "event_id", mark(), F.lit(100), 20)
 
 
-@query(f"""SELECT user_id, count(*) FILTER (event_id > 500) AS records, coalesce(sum({SQL_SIZE}) FILTER (event_id > 500), 0)::BIGINT AS bytes,
-    greatest(1710000000000000 - min_by(epoch_us(ts), event_id) FILTER (event_id > 500), 0) AS oldest_age FROM events GROUP BY 1""")
+@query(f"""WITH m AS (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'signup' GROUP BY 1),
+    e AS (SELECT user_id, event_id, event_type <> 'signup' AND event_id <= m AND event_id > 500 AS late, {SQL_SIZE} AS z, min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id, event_id // 1000) AS created FROM events LEFT JOIN m USING (user_id))
+    SELECT user_id, count(*) FILTER (late) AS records, coalesce(sum(z) FILTER (late), 0)::BIGINT AS bytes, coalesce(greatest(1710000000000 - min_by(created, event_id) FILTER (late), 0) // 1000, 0)::BIGINT AS age_seconds FROM e GROUP BY 1""")
 def lag_report(spark, sf_dir):
-    return logs.lag_report(events(spark, sf_dir), ["user_id"], "event_id", F.col("size"), F.col("us"), F.lit(500), F.lit(1710000000000000))
+    log = logs.committed_prefix(events(spark, sf_dir), ["user_id"], "event_id", mark())
+    log = log.withColumn("created", F.min(F.expr("us div 1000")).over(W.partitionBy("user_id", F.expr("event_id div 1000"))))
+    return logs.lag_report(log, ["user_id"], "event_id", F.col("size"), mark(), F.col("committed"), F.col("created"), F.lit(500), F.lit(1710000000000))
 
 
 @query("""SELECT user_id, event_type, event_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""")
@@ -112,10 +110,9 @@ def reopen_preview(spark, sf_dir):
     return logs.reopen_preview(events(spark, sf_dir).withColumn("segment", F.expr("event_id div 1000")), ["user_id"], "event_id", F.col("size"), "segment", mark())
 
 
-@query("""WITH o AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2),
-    r AS (SELECT o_orderpriority, epoch_us(m) // 1000000 AS month, n, (sum(n) OVER (PARTITION BY o_orderpriority))::BIGINT
-        - coalesce(sum(n) FILTER (m < TIMESTAMP '1997-01-01') OVER (PARTITION BY o_orderpriority ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS remaining, m FROM o)
-    SELECT o_orderpriority, month, n, remaining FROM r WHERE m < TIMESTAMP '1997-01-01' AND remaining > 200""")
+@query("""WITH o AS (SELECT o_orderpriority, epoch_us(date_trunc('month', o_orderdate)) // 1000000 AS month, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1, 2),
+    r AS (SELECT *, (sum(n) OVER (PARTITION BY o_orderpriority) - coalesce(sum(n) OVER (PARTITION BY o_orderpriority ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS remaining FROM o)
+    SELECT * FROM r WHERE remaining > 200""")
 def retention_candidates(spark, sf_dir):
     month = F.unix_seconds(F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))).alias("month")
     sized = table(spark, sf_dir, "orders").groupBy("o_orderpriority", month).agg(F.count("*").alias("n"))

@@ -14,17 +14,9 @@ def cents(c):
     return F.round(F.col(c) * 100).cast("long")
 
 
-@query("""WITH o AS (SELECT o_custkey + 500 AS k, max(o_orderstatus) AS s, max(o_orderkey) AS l FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
-    SELECT coalesce(c_custkey, k) AS recording_id, c_name AS name, coalesce(s, c_mktsegment) AS status, l AS session_id, array_to_string(CASE WHEN k IS NULL THEN [1] WHEN c_custkey IS NULL THEN [0] ELSE [0, 1] END, ',') AS found_in FROM customer FULL JOIN o ON c_custkey = k""")
-def catalog_full_outer(spark, sf_dir):
-    logs = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy((F.col("o_custkey") + 500).alias("recording_id")).agg(F.max("o_orderstatus").alias("status"), F.max("o_orderkey").alias("session_id"))
-    listed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
-    return r.merge_catalog([logs, listed], ["recording_id"], ["name", "status", "session_id"]).withColumn("found_in", F.array_join(F.transform("found_in", lambda i: i.cast("string")), ","))
-
-
 @query("""WITH o AS (SELECT o_custkey + 500 AS k, max(o_orderstatus) AS s, max(o_orderkey) AS l FROM orders GROUP BY 1)
     SELECT coalesce(c_custkey, k) AS recording_id, c_name AS name, coalesce(s, c_mktsegment) AS status, l AS session_id, array_to_string(CASE WHEN k IS NULL THEN [1] WHEN c_custkey IS NULL THEN [0] ELSE [0, 1] END, ',') AS found_in FROM customer FULL JOIN o ON c_custkey = k""")
-def catalog_full_outer_all(spark, sf_dir):
+def catalog_full_outer(spark, sf_dir):
     logs = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 500).alias("recording_id")).agg(F.max("o_orderstatus").alias("status"), F.max("o_orderkey").alias("session_id"))
     listed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recording_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
     return r.merge_catalog([logs, listed], ["recording_id"], ["name", "status", "session_id"]).withColumn("found_in", F.array_join(F.transform("found_in", lambda i: i.cast("string")), ","))
@@ -73,11 +65,13 @@ def merge_sessions(spark, sf_dir):
     return r.merge_sessions(table(spark, sf_dir, "orders").withColumn("at", F.unix_micros(F.col("o_orderdate").cast("timestamp"))), ["o_custkey"], ["o_orderkey"], "at", "at", "o_orderstatus", "F")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'published' WHEN o_orderkey % 5 <> 0 AND o_orderstatus = 'P' THEN 'incomplete' WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderpriority = '1-URGENT' THEN 'aborted' WHEN o_orderpriority = '2-HIGH' THEN 'aborted' ELSE o_orderpriority END
-    WHEN o_orderpriority = '1-URGENT' THEN 'running' WHEN o_orderpriority = '2-HIGH' THEN 'missing' ELSE o_orderpriority END AS status FROM orders""")
+@query("""WITH a AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS published, o_orderstatus = 'P' AS incomplete, o_orderkey % 5 <> 0 AS present, CASE o_orderpriority WHEN '1-URGENT' THEN 'published' WHEN '2-HIGH' THEN 'in_progress' WHEN '3-MEDIUM' THEN 'recoverable' END AS advisory FROM orders)
+    SELECT o_orderkey, CASE WHEN published AND incomplete THEN 'inconsistent' WHEN published THEN 'published' WHEN present AND advisory = 'published' THEN 'inconsistent' WHEN present THEN 'recoverable'
+        WHEN advisory IS NOT NULL THEN advisory ELSE 'in_progress' END AS status FROM a""")
 def status_truth_table(spark, sf_dir):
-    advisory = F.when(F.col("o_orderpriority") == "1-URGENT", "running").when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderpriority"))
-    status = r.reconcile_status(F.when(F.col("o_orderkey") % 3 == 0, "published"), F.col("o_orderstatus") == "P", F.col("o_orderkey") % 5 != 0, advisory)
+    priority = F.col("o_orderpriority")
+    advisory = F.when(priority == "1-URGENT", "published").when(priority == "2-HIGH", "in_progress").when(priority == "3-MEDIUM", "recoverable")
+    status = r.reconcile_status(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus") == "P", F.col("o_orderkey") % 5 != 0, advisory)
     return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
 
 
@@ -94,28 +88,32 @@ def index_by_two_keys(spark, sf_dir):
     SELECT o_custkey, (sum(bad) + (count(*) FILTER (a) <> 1)::INT)::BIGINT AS violations FROM x GROUP BY 1 HAVING count(*) FILTER (a) > 0""")
 def epoch_chain_check(spark, sf_dir):
     w = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w)).withColumn("previous", F.lag("o_orderkey").over(w)).withColumn("_lead", F.lead("o_orderkey").over(w))
-    rows = rows.withColumn("ordinal", F.struct((F.col("n") - (F.col("o_orderkey") % 97 == 0).cast("int")).alias("n"), "o_orderkey")).withColumn("following", F.expr("if(o_orderkey % 101 <> 0, _lead, null)"))
-    rows = rows.withColumn("active", F.col("_lead").isNull())
-    # ordinals that clash are ordered by id
-    at = W.partitionBy("o_custkey").orderBy("ordinal")
-    rows = rows.withColumn("skips", F.coalesce(F.col("ordinal.n") != F.lag("ordinal.n").over(at) + 1, F.lit(False)).cast("int"))
-    bad = rows.withColumn("bad", F.col("skips") + (~F.col("previous").eqNullSafe(F.lag("o_orderkey").over(at))).cast("int") + (~F.col("following").eqNullSafe(F.lead("o_orderkey").over(at))).cast("int"))
-    return bad.groupBy("o_custkey").agg((F.sum("bad") + (F.count_if("active") != 1).cast("int")).alias("violations"))
-
-
-@query("""SELECT o_custkey, 0::BIGINT AS violations FROM orders GROUP BY 1""")
-def epoch_chain_whole(spark, sf_dir):
-    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = table(spark, sf_dir, "orders").withColumn("ordinal", F.row_number().over(w)).withColumn("previous", F.lag("o_orderkey").over(w)).withColumn("following", F.lead("o_orderkey").over(w))
-    return r.epoch_chain(rows.withColumn("active", F.col("following").isNull()), ["o_custkey"], "ordinal", "o_orderkey", "previous", "following", "active")
+    rows = table(spark, sf_dir, "orders").withColumn("ordinal", F.row_number().over(w) - (F.col("o_orderkey") % 97 == 0).cast("int")).withColumn("previous", F.lag("o_orderkey").over(w)).withColumn("_lead", F.lead("o_orderkey").over(w))
+    rows = rows.withColumn("following", F.expr("if(o_orderkey % 101 <> 0, _lead, null)")).withColumn("active", F.col("_lead").isNull())
+    return r.epoch_chain(rows, ["o_custkey"], "ordinal", "o_orderkey", "previous", "following", "active")
+
+
+#: Evidence of orders as epochs of customers: of every seventh another parent, ordinal, path or digest is told.
+EVIDENCE = """WITH e AS (SELECT o_custkey AS parent, o_orderkey AS epoch, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS ordinal, 'p' || o_orderkey AS path FROM orders),
+    v AS (SELECT epoch AS place, CASE WHEN epoch % 1009 = 0 THEN 'filesystem_mtime' WHEN epoch % 3 = 0 THEN 'run_summary' WHEN epoch % 3 = 1 THEN 'checkpoint' ELSE 'catalog' END AS authority, e.parent AS catalog_parent,
+        CASE WHEN epoch % 101 = 0 THEN -1 ELSE e.parent END AS parent, CASE WHEN epoch % 103 = 0 THEN -epoch ELSE epoch END AS epoch, CASE WHEN epoch % 107 = 0 THEN 0 ELSE ordinal END AS ordinal,
+        CASE WHEN epoch % 109 = 0 THEN 'q' ELSE path END AS path, CASE WHEN epoch % 41 = 0 THEN 'other' ELSE c_name END AS digest, c_name, e.ordinal AS o, e.path AS p FROM e JOIN customer ON c_custkey = e.parent)"""
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'rebuild' WHEN c_custkey % 10 = 1 THEN 'conflict_c_name' WHEN c_custkey % 15 = 2 THEN 'conflict_c_nationkey' ELSE 'authoritative' END AS verdict FROM customer""")
+@query(EVIDENCE + """, x AS (SELECT *, CASE WHEN authority = 'filesystem_mtime' THEN 'mtime_selection_forbidden' WHEN parent <> catalog_parent THEN 'parent_identity_conflict' WHEN epoch < 0 OR ordinal <> o OR path <> p THEN 'lineage_fork'
+        WHEN digest <> c_name AND authority = 'catalog' THEN 'authority_conflict' END AS error FROM v),
+    g AS (SELECT catalog_parent, min_by(error, place) FILTER (error IS NOT NULL) AS error, bool_or(digest <> c_name) AS other FROM x GROUP BY 1)
+    SELECT c_custkey AS parent, coalesce(error, CASE WHEN other THEN 'rebuild_derived' END, 'authoritative') AS verdict FROM customer LEFT JOIN g ON c_custkey = catalog_parent""")
 def epoch_evidence(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    seen = customers.where("c_custkey % 6 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 10 == 1, "other").otherwise(F.col("c_name"))).withColumn("c_nationkey", F.when(F.col("c_custkey") % 15 == 2, -1).otherwise(F.col("c_nationkey")))
-    return r.reconcile_epochs(customers, seen, ["c_custkey"], ["c_name", "c_nationkey"])
+    key = F.col("o_orderkey")
+    ordinal = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    catalog = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parent"), F.col("c_name").alias("digest"))
+    epochs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent"), key.alias("epoch"), ordinal.alias("ordinal"), F.concat(F.lit("p"), key.cast("string")).alias("path"))
+    wrong = lambda k, other, right: F.when(F.col("place") % k == 0, other).otherwise(F.col(right))
+    told = epochs.join(catalog, "parent").withColumn("place", F.col("epoch"))
+    authority = F.when(F.col("place") % 1009 == 0, "filesystem_mtime").when(F.col("place") % 3 == 0, "run_summary").when(F.col("place") % 3 == 1, "checkpoint").otherwise("catalog")
+    told = told.select("place", authority.alias("authority"), F.col("parent").alias("catalog_parent"), wrong(101, F.lit(-1).cast("long"), "parent").alias("parent"), wrong(103, -F.col("epoch"), "epoch").alias("epoch"), wrong(107, F.lit(0).cast("long"), "ordinal").alias("ordinal"), wrong(109, F.lit("q"), "path").alias("path"), wrong(41, F.lit("other"), "digest").alias("digest"))
+    return r.reconcile_epochs(catalog, epochs, told)
 
 
 @query("""WITH x AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS ordinal FROM events)
@@ -172,10 +170,10 @@ def content_addressed(spark, sf_dir):
     return r.content_addressed(table(spark, sf_dir, "documents"), ["source"], F.col("text"))
 
 
-@query("""WITH q AS (SELECT c_custkey, least(greatest(c_custkey * 10 - 2000, 0), greatest(9000 - c_nationkey * 300, 0)) AS room, c_custkey % 900 * 10 AS need, c_nationkey * 300 AS managed FROM customer)
-    SELECT c_custkey, CASE WHEN need <= room THEN 'none' WHEN need <= room + managed THEN 'recoverable' ELSE 'terminal' END AS pressure FROM q""")
+@query("""WITH q AS (SELECT c_custkey, c_custkey * 10 AS free, c_custkey % 900 * 10 AS reserved, c_nationkey * 300 AS managed FROM customer)
+    SELECT c_custkey, CASE WHEN NOT (free < 2000 OR reserved > greatest(free - 2000, 0)) THEN 'none' WHEN managed > 4000 THEN 'terminal' ELSE 'recoverable' END AS pressure FROM q""")
 def quota_pressure(spark, sf_dir):
-    pressure = r.quota_pressure(F.col("c_custkey") * 10, F.col("c_custkey") % 900 * 10, F.lit(9000), F.lit(2000), F.col("c_nationkey") * 300)
+    pressure = r.quota_pressure(F.col("c_custkey") * 10, F.col("c_custkey") % 900 * 10, F.lit(4000), F.lit(2000), F.col("c_nationkey") * 300)
     return table(spark, sf_dir, "customer").select("c_custkey", pressure.alias("pressure"))
 
 
@@ -185,11 +183,15 @@ def reservation_ledger(spark, sf_dir):
     return r.reservation_ledger(rows, ["user_id"], "event_id", "delta", F.lit(150000)).select("event_id", "reserved", "fits")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' WHEN o_custkey % 5 = 0 THEN 'stale' WHEN o_orderstatus = 'F' THEN 'stopping' WHEN o_orderkey % 3 = 0 THEN 'degraded' WHEN o_orderstatus = 'O' THEN 'ready' ELSE 'starting' END AS status,
-    CASE WHEN o_orderkey % 7 = 0 THEN 'fatal' WHEN o_custkey % 5 = 0 THEN 'user' WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN 'source_completed' WHEN o_orderstatus = 'O' THEN 'deadline' END AS stop FROM orders""")
+@query("""WITH s AS (SELECT *, ['starting', 'recovering', 'running', 'draining', 'stopped', 'failed', 'running'][o_orderkey % 7 + 1] AS life, o_orderkey % 5 <> 0 AS live FROM orders)
+    SELECT o_orderkey, CASE WHEN NOT live AND life IN ('running', 'recovering', 'draining') OR life = 'failed' OR o_custkey % 11 = 0 THEN 'failed' WHEN life = 'running' AND o_orderstatus = 'O' THEN 'ready'
+        WHEN life IN ('starting', 'recovering') THEN life WHEN life = 'running' THEN 'loading_ebpf' ELSE 'degraded' END AS status,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'fatal' WHEN o_custkey % 5 = 0 THEN 'user' WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN 'source_completed' WHEN o_orderstatus = 'O' THEN 'deadline' END AS stop FROM s""")
 def recorder_states(spark, sf_dir):
     a, b, f, d, o = F.col("o_orderkey") % 7 == 0, F.col("o_custkey") % 5 == 0, F.col("o_orderstatus") == "F", F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus") == "O"
-    return table(spark, sf_dir, "orders").select("o_orderkey", r.recorder_status(~b, a, f, o, d).alias("status"), r.stop_reason(a, b, f, o, d).alias("stop"))
+    life = F.element_at(F.array(*[F.lit(x) for x in ("starting", "recovering", "running", "draining", "stopped", "failed", "running")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    status = r.recorder_status(life, F.when(F.col("o_custkey") % 11 == 0, "failed").otherwise("healthy"), F.when(o, "ready").otherwise("loading"), F.col("o_orderkey") % 5 != 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), r.stop_reason(a, b, f, o, d).alias("stop"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS from_state, event_type AS to_state FROM events)
@@ -199,10 +201,13 @@ def illegal_transitions(spark, sf_dir):
     return r.illegal_transitions(events(spark, sf_dir), ["user_id"], "event_id", "event_type", allowed)
 
 
-@query("""SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'fail' WHEN bool_or(l_returnflag = 'A') THEN 'warn' ELSE 'pass' END AS status, CASE WHEN bool_or(l_returnflag = 'R') THEN 4 ELSE 0 END AS exit_code FROM lineitem GROUP BY 1""")
+@query("""WITH p AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' AND l_linenumber % 4 = 1 THEN 'unsupported' WHEN l_returnflag = 'A' AND l_linenumber % 4 = 3 THEN 'not_checked' WHEN l_linestatus = 'F' AND l_linenumber = 2 THEN 'supported_with_warnings' WHEN l_returnflag = 'R' AND l_linenumber % 4 = 0 THEN 'not_checked' ELSE 'supported' END AS s, l_linenumber % 2 = 1 AS must FROM lineitem),
+    g AS (SELECT l_orderkey, bool_or(must AND s = 'unsupported') AS u, bool_or(must AND s = 'not_checked') AS n, bool_or(s = 'supported_with_warnings' OR (NOT must AND s IN ('unsupported', 'not_checked'))) AS w FROM p GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN u THEN 'unsupported' WHEN n THEN 'not_checked' WHEN w THEN 'supported_with_warnings' ELSE 'supported' END AS status, CASE WHEN u OR n THEN 4 ELSE 0 END AS exit_code FROM g""")
 def doctor_report(spark, sf_dir):
-    status = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "A", "warn").otherwise("pass")
-    return r.worst_status(table(spark, sf_dir, "lineitem").withColumn("status", status), ["l_orderkey"], "status")
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    status = F.when((flag == "R") & (line % 4 == 1), "unsupported").when((flag == "A") & (line % 4 == 3), "not_checked").when((F.col("l_linestatus") == "F") & (line == 2), "supported_with_warnings").when((flag == "R") & (line % 4 == 0), "not_checked").otherwise("supported")
+    return r.worst_status(table(spark, sf_dir, "lineitem").withColumn("status", status).withColumn("required", line % 2 == 1), ["l_orderkey"], "status", "required")
 
 
 @query("""WITH g AS (SELECT o_custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), h AS (SELECT o_custkey, min(o_orderkey) AS a, min(o_orderkey) AS b FROM orders GROUP BY 1),

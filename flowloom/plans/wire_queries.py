@@ -28,9 +28,15 @@ def name_rules(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(t.valid_name(F.col("text")), F.lit(False)).alias("valid"))
 
 
-@query("""SELECT doc_id, replace(replace(text, chr(10), '\\u{a}'), chr(9), '\\u{9}') AS escaped FROM documents WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f]')""")
+def escaped_sql(column):
+    for code in (*range(1, 32), 127):
+        column = f"replace({column}, chr({code}), '\\u{{{code:x}}}')"
+    return column
+
+
+@query(f"SELECT doc_id, {escaped_sql('text')} AS escaped FROM documents")
 def escape_control(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x00-\x08\x0b-\x1f\x7f]")).select("doc_id", t.escape_control(F.col("text")).alias("escaped"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.escape_control(F.col("text")).alias("escaped"))
 
 
 @query("""WITH u AS (SELECT doc_id, sha256(doc_id::VARCHAR) AS h FROM documents), v AS (SELECT doc_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS u FROM u)
@@ -57,15 +63,17 @@ def json_payload(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", k.alias("k"), odd.alias("odd_hex"))
 
 
-@query("""SELECT page_id, url LIKE '%/en/%' AS safe, 'x-page,x-page,accept' AS names, 'host,content-length,accept' AS sent FROM pages""")
+@query("""SELECT page_id, url LIKE '%/en/%' AS safe, 'x-page,x-page,accept' AS names, CASE WHEN page_id % 2 = 0 THEN 'host,accept,content-length' ELSE 'host,x-page,x-page,accept,content-length' END AS sent, 'h' || (page_id * 3)::VARCHAR AS ends FROM pages""")
 def header_normalize(spark, sf_dir):
     header = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("binary").alias("value"))
     headers = F.array(header("X-Page", F.col("page_id").cast("string")), header("X-page", F.col("url")), header("Accept", F.lit("*/*")))
-    named = F.concat(headers, F.array(header("Connection", F.lit("close, X-Page")), header("Cookie", F.lit("a=b"))))
+    listed = F.when(F.col("page_id") % 2 == 0, "close, X-Page").otherwise("close")
+    more = F.array(header("Connection", listed), header("Cookie", F.lit("a=b")), header("Expect", F.lit("100-continue")), header("X-Forwarded-Port", F.lit("1")))
     names = lambda hs: F.array_join(F.transform(hs, lambda h: h["name"]), ",")
-    sent = sanitized_headers(normalized_headers(named), F.lit("127.0.0.1"), F.lit(0))
+    sent = sanitized_headers(F.concat(headers, more), F.lit("h"), F.col("page_id") * 3)
     key = F.concat(F.lit("a/b/c/"), F.when(F.col("url").contains("/en/"), "d").otherwise(".."))
-    return table(spark, sf_dir, "pages").select("page_id", t.safe_key(key).alias("safe"), names(normalized_headers(headers)).alias("names"), names(sent).alias("sent"))
+    ends = F.concat(F.element_at(sent, 1)["value"].cast("string"), F.element_at(sent, -1)["value"].cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", t.safe_key(key).alias("safe"), names(normalized_headers(headers)).alias("names"), names(sent).alias("sent"), ends.alias("ends"))
 
 
 def page_frames(spark, sf_dir):
@@ -99,7 +107,11 @@ def streamed(spark, sf_dir, build, key: list[str], version: str):
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="flowloom-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="flowloom-")
     sink = f"{base}/flowloom-stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
     stream = build(source.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))))

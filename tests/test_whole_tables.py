@@ -18,35 +18,44 @@ def log(spark):
 
 
 def windows(log):
-    """clock, start, end, known of the loss window that every event gives."""
-    return [(kind, us, us + n % 50 * connection_queries.HOUR, n % 3 != 0) for n, _, kind, us in log]
+    """clock, end clock, start, end, known, reason of the loss window that every event gives."""
+    reasons = ["counter regressed", "new generation", "unreadable", None]
+    return [(kind, "other" if n % 11 == 0 else kind, us, us + n % 50 * connection_queries.HOUR, n % 3 != 0, reasons[n % 4]) for n, _, kind, us in log]
 
 
 def test_loss_join_over_all_events(spark, log):
-    assert connection_queries.all_losses(spark, SF).count() == len(log)
-    spans = {}
+    assert connection_queries.losses(spark, SF).count() == len(log)
+    users = {}
     for _, user, kind, us in log:
-        a, b = spans.get((user, kind), (us, us))
-        spans[user, kind] = min(a, us), max(b, us)
-    want = {}
-    for (user, kind), (a, b) in spans.items():
-        met = [known for clock, s, t, known in windows(log) if clock == kind and s <= b and t >= a]
-        if met:
-            want[user, kind] = (sum(met), len(met) - sum(met))
-    got = {(r["user_id"], r["clock"]): (r["overlaps"], r["unknown"]) for r in catalog.QUERIES["interval_loss_join_all"](spark, SF).collect()}
-    assert got == want
-    assert sum(map(sum, want.values())) > sum(r["overlaps"] + r["unknown"] for r in catalog.QUERIES["interval_loss_join"](spark, SF).collect())
+        a, b = users.setdefault(user, {}).get(kind, (us, us))
+        users[user][kind] = min(a, us), max(b, us)
+    names = ["overlaps", "outside", "unknown", "reset", "clock_mismatch"]
+    for row in catalog.QUERIES["interval_loss_join"](spark, SF).collect():
+        want = dict.fromkeys(names, 0)
+        for clock, other, s, t, known, reason in windows(log):
+            if clock != other:
+                k = "clock_mismatch"
+            elif not known:
+                k = "reset" if reason and ("generation" in reason or "regressed" in reason) else "unknown"
+            elif clock not in users[row["user_id"]]:
+                k = "clock_mismatch"
+            else:
+                a, b = users[row["user_id"]][clock]
+                k = "outside" if t < a or s > b else "overlaps"
+            want[k] += 1
+        assert [row[k] for k in names] == [want[k] for k in names]
+        assert sum(want.values()) == len(log)
 
 
 def test_points_in_all_loss_windows(spark, log):
-    clicks = [(s, t) for clock, s, t, _ in windows(log) if clock == "click"]
+    clicks = [(s, t) for clock, _, s, t, _, _ in windows(log) if clock == "click"]
     want = {user for _, user, kind, us in log if kind == "click" and any(s <= us <= t for s, t in clicks)}
-    got = [r["user_id"] for r in catalog.QUERIES["point_in_interval_semi_all"](spark, SF).collect()]
+    got = [r["user_id"] for r in catalog.QUERIES["point_in_interval_semi"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
 
 
 def test_catalog_has_all_orders(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").select((F.col("o_custkey") + 500).alias("k")).distinct()
     want = {r["k"] for r in orders.collect()}
-    got = catalog.QUERIES["catalog_full_outer_all"](spark, SF).where(F.col("found_in").contains("0")).collect()
+    got = catalog.QUERIES["catalog_full_outer"](spark, SF).where(F.col("found_in").contains("0")).collect()
     assert sorted(r["recording_id"] for r in got) == sorted(want)
