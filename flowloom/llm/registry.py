@@ -117,4 +117,16 @@ ORACLES: dict[str, str] = {
              c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
         SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM g JOIN c USING (doc_id)
     """,
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+         h AS (SELECT doc_id, hex(t) AS h, octet_length(t) AS n FROM d),
+         b AS (SELECT doc_id, n, k, substr(h, 2 * k + 1, 2 * (1024 + 49)) AS h FROM (SELECT *, unnest(range(0, greatest(n - 49, 0), 1024)) AS k FROM h)),
+         x AS (SELECT doc_id, k + j AS i, md5(w) AS s FROM (SELECT doc_id, k, j, substr(h, 2 * j + 1, 100) AS w FROM (SELECT doc_id, n, k, h, unnest(range(0, least(1024, n - 49 - k))) AS j FROM b))),
+         m AS (SELECT s, min(doc_id) AS f FROM x GROUP BY s HAVING min(doc_id) < max(doc_id)),
+         g AS (SELECT x.doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY x.doc_id ORDER BY i) > 50, true) AS new FROM x JOIN m USING (s) WHERE x.doc_id > f),
+         r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM g) GROUP BY doc_id, q),
+         p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM r),
+         k AS (SELECT p.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS h FROM p JOIN h USING (doc_id) GROUP BY p.doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, h.h))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)
+    """,
 }
