@@ -5,7 +5,8 @@ hash of the ANCHOR-byte strings in it, so equal windows are filed together where
 one anchor make a segment. A chunk of documents asks about each of its different segments once, with the smallest
 document that has it, so what many documents share is summed up before it moves:
 
-1. Files that hold one segment from several documents: all windows of the later ones are removed.
+1. Files that hold one segment from several documents: all windows of the later ones are removed, by 48 bits of the
+   anchor and 64 of the content.
 2. Files that hold different segments from several documents: their windows may still be equal in part (a passage
    begins or ends, a word was changed). The segments' first owners send their bytes; the windows are put in suffix
    order, and the longest previous factor of each is taken with its nearest neighbours, before and after in that order,
@@ -182,6 +183,21 @@ def longest_previous(text: np.ndarray, windows: np.ndarray, doc: np.ndarray, len
     return out
 
 
+def in_parts(text: np.ndarray, windows: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """``longest_previous`` of any number of windows: SORTED_WINDOWS or so are sorted at once, dealt by their first bytes, so
+    equal ones stay together."""
+    parts = -(-len(windows) // SORTED_WINDOWS)
+    if parts <= 1:
+        return longest_previous(text, windows, doc, length)
+    lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)[windows]).view("<u8").ravel()
+    part, out = mix(lead) % _U(parts), np.zeros(len(windows), bool)
+    for p in range(parts):
+        some = np.flatnonzero(part == _U(p))
+        if len(some):
+            out[some] = longest_previous(text, windows[some], doc[some], length)
+    return out
+
+
 def _request(shares: int):
     def run(batches):
         for batch in batches:
@@ -300,7 +316,7 @@ def _factors(length: int):
             first = np.cumsum(n) - n
             row = np.repeat(np.arange(len(rows)), n)
             inside = np.arange(len(row)) - first[row]
-            hit = np.flatnonzero(longest_previous(text, at[rows][row] + inside, doc[rows][row], length))
+            hit = np.flatnonzero(in_parts(text, at[rows][row] + inside, doc[rows][row], length))
             if len(hit):  # runs of neighbouring windows
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (row[hit][1:] != row[hit][:-1])]))
                 last = np.concatenate([new[1:] - 1, [len(hit) - 1]])

@@ -340,6 +340,20 @@ def test_previous_smaller():
         assert suffix_dedup.previous_smaller(v, g).tolist() == want
 
 
+def test_windows_in_parts(monkeypatch):
+    r = np.random.default_rng(2)
+    text = r.integers(97, 99, 4000).astype(np.uint8)
+    windows, doc = r.integers(0, 3900, 900), r.integers(0, 30, 900)
+    whole = suffix_dedup.longest_previous(text, windows, doc, 10)
+    strings = [bytes(text[w : w + 10]) for w in windows]
+    least = {}
+    for t, d in zip(strings, doc, strict=True):
+        least[t] = min(least.get(t, d), d)
+    assert whole.tolist() == [least[t] < d for t, d in zip(strings, doc, strict=True)]
+    monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 100)
+    assert suffix_dedup.in_parts(text, windows, doc, 10).tolist() == whole.tolist()
+
+
 # embeddings
 
 
