@@ -32,6 +32,8 @@ LENGTH, ANCHOR = 50, 20
 SHARE_BYTES = 16 << 20
 #: Windows that are sorted at once.
 SORTED_WINDOWS = 1 << 19
+#: A file of more different segments goes to so many tasks, each for the windows whose first bytes are its own.
+SPLIT_FROM, SPLIT_INTO = 4096, 16
 
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
@@ -183,14 +185,18 @@ def longest_previous(text: np.ndarray, windows: np.ndarray, doc: np.ndarray, len
     return out
 
 
+def lead_hash(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of the first bytes of each window: the same for equal windows."""
+    return mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)[windows]).view("<u8").ravel())
+
+
 def in_parts(text: np.ndarray, windows: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """``longest_previous`` of any number of windows: SORTED_WINDOWS or so are sorted at once, dealt by their first bytes, so
     equal ones stay together."""
     parts = -(-len(windows) // SORTED_WINDOWS)
     if parts <= 1:
         return longest_previous(text, windows, doc, length)
-    lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)[windows]).view("<u8").ravel()
-    part, out = mix(lead) % _U(parts), np.zeros(len(windows), bool)
+    part, out = lead_hash(text, windows) // _U(SPLIT_INTO) % _U(parts), np.zeros(len(windows), bool)
     for p in range(parts):
         some = np.flatnonzero(part == _U(p))
         if len(some):
@@ -218,8 +224,9 @@ def _rows(rows: list[tuple], types, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], list(names))
 
 
-#: What a chunk is told of a segment: nothing, that an earlier document has all of it, or to send its bytes.
-NOTHING, REMOVED, SEND = 0, 1, 2
+#: What a chunk is told of a segment: nothing, that an earlier document has all of it, or to send its bytes, to one task
+#: or to all those of a large file.
+NOTHING, REMOVED, SEND, SPLIT = 0, 1, 2, 3
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -241,9 +248,10 @@ def _answer(table: pa.Table) -> pa.Table:
     files, segs = np.flatnonzero(new_file), np.flatnonzero(new_segment)
     of_file, of_segment = np.cumsum(new_file) - 1, np.cumsum(new_segment) - 1
     least = d[segs][of_segment]
-    several = np.add.reduceat(new_segment, files) > 1
+    many = np.add.reduceat(new_segment, files)
+    several = many > 1
     several &= np.minimum.reduceat(d, files) < np.maximum.reduceat(d, files)
-    told = np.where(d > least, REMOVED, np.where(several[of_file], SEND, NOTHING)).astype(np.uint8)
+    told = np.where(d > least, REMOVED, np.where(several[of_file], np.where(many[of_file] > SPLIT_FROM, SPLIT, SEND), NOTHING)).astype(np.uint8)
     back = np.empty(len(told), np.uint8)
     back[order] = told
     edges = np.cumsum(lengths)[:-1]
@@ -273,24 +281,29 @@ def _mark(shares: int, length: int):
                 ends.append(b)
             places = [np.concatenate(x).astype("<i4").tobytes() if x else b"" for x in (docs, starts, ends)]
             # every place of a sent segment in documents that nobody comes before
-            sent = np.flatnonzero((said[group] == SEND) & ~gone)
+            sent = np.flatnonzero((said[group] >= SEND) & ~gone)
             out.append((number, -1, _squeeze(*places, group[sent].astype("<i8").tobytes(), c.doc[sent].astype("<i4").tobytes(), c.start[sent].astype("<i4").tobytes()), None))
             for share, a, b in c.shares():
-                groups = np.arange(a, b)[said[a:b] == SEND]
-                if not len(groups):
-                    continue
-                rows = c.first[groups]
-                sizes = c.count[rows] + length - 1
-                text = b"".join(c.texts[d][s : s + n] for d, s, n in zip(c.doc[rows], c.start[rows], sizes, strict=True))
-                out.append((number, share, None, _squeeze(_planes(c.anchor[rows], 6), c.ids[c.doc[rows]].astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), groups.astype("<i8").tobytes(), text)))
+                for word in (SEND, SPLIT):
+                    groups = np.arange(a, b)[said[a:b] == word]
+                    if not len(groups):
+                        continue
+                    rows = c.first[groups]
+                    sizes = c.count[rows] + length - 1
+                    text = b"".join(c.texts[d][s : s + n] for d, s, n in zip(c.doc[rows], c.start[rows], sizes, strict=True))
+                    packed = _squeeze(_planes(c.anchor[rows], 6), c.ids[c.doc[rows]].astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), groups.astype("<i8").tobytes(), text)
+                    places = [share] if word == SEND else [share + shares * (p + 1) for p in range(SPLIT_INTO)]
+                    out += [(number, place, None, packed) for place in places]
         return pa.Table.from_batches([_rows(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), ("chunk", "share", "state", "sent"))])
 
     return run
 
 
-def _factors(length: int):
+def _factors(length: int, shares: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of the segments sent for one share of the files: which windows of each are in a smaller document."""
+        """Of the segments sent for one share of the files: which windows of each are in a smaller document. A share's
+        numbers beyond the first ``shares`` are the parts of its large files."""
+        own = table.column("share")[0].as_py() // shares - 1
         anchors, ids, sizes, groups, texts, source = [], [], [], [], [], []
         for k, blob in enumerate(table.column("sent")):
             a, d, s, g, t = _unsqueeze(blob.as_py())
@@ -316,9 +329,13 @@ def _factors(length: int):
             first = np.cumsum(n) - n
             row = np.repeat(np.arange(len(rows)), n)
             inside = np.arange(len(row)) - first[row]
-            hit = np.flatnonzero(in_parts(text, at[rows][row] + inside, doc[rows][row], length))
+            where = at[rows][row] + inside
+            if own >= 0:
+                mine = np.flatnonzero(lead_hash(text, where) % _U(SPLIT_INTO) == _U(own))
+                row, inside, where = row[mine], inside[mine], where[mine]
+            hit = np.flatnonzero(in_parts(text, where, doc[rows][row], length)) if len(where) else np.empty(0, np.int64)
             if len(hit):  # runs of neighbouring windows
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (row[hit][1:] != row[hit][:-1])]))
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(inside[hit]) != 1) | (row[hit][1:] != row[hit][:-1])]))
                 last = np.concatenate([new[1:] - 1, [len(hit) - 1]])
                 for r, a, b in zip(rows[row[hit[new]]], inside[hit[new]], inside[hit[last]], strict=True):
                     answers[source[r]].append((group[r], a, b + length))
@@ -393,7 +410,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc: str = "doc_id", keep:
     told = asked.groupBy("share").applyInArrow(_answer, spark_schema(chunk="long", share="int", told="binary"))
     marked = materialize(blobs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_mark(shares, length), spark_schema(chunk="long", share="int", state="binary", sent="binary")), "none")
     sent = marked.where("sent is not null").select("chunk", "share", "sent")
-    found = sent.groupBy("share").applyInArrow(_factors(length), spark_schema(chunk="long", state="binary", found="binary"))
+    found = sent.groupBy("share").applyInArrow(_factors(length, shares), spark_schema(chunk="long", state="binary", found="binary"))
     known = marked.where("state is not null").select("chunk", "state", F.lit(None).cast("binary").alias("found")).union(found)
     schema = T.StructType(slim.select(*others).schema.fields + spark_schema(n_bytes="long", n_removed="long", n_spans="long", kept="binary").fields)
     return blobs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_finish(others, characters), schema)

@@ -354,6 +354,24 @@ def test_windows_in_parts(monkeypatch):
     assert suffix_dedup.in_parts(text, windows, doc, 10).tolist() == whole.tolist()
 
 
+def test_large_files_in_parts():
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    text = r.integers(97, 99, 4000).astype(np.uint8).tobytes()
+    starts, sizes = r.integers(0, 3800, 40), r.integers(60, 99, 40)
+    packed = suffix_dedup._squeeze(suffix_dedup._planes(np.zeros(40, np.uint64), 6), np.arange(40).astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), np.arange(40).astype("<i8").tobytes(), b"".join(text[a : a + n] for a, n in zip(starts, sizes, strict=True)))
+    run = suffix_dedup._factors(50, 7)
+
+    def covered(share):
+        (found,) = run(pa.table({"share": pa.array([share], pa.int32()), "chunk": pa.array([0], pa.int64()), "sent": pa.array([packed], pa.binary())})).column("found").to_pylist()
+        triples = suffix_dedup._unsqueeze(found)[0].view("<i8").reshape(-1, 3).tolist() if found else []
+        return {(g, x) for g, a, b in triples for x in range(a, b)}
+
+    whole = covered(3)
+    assert whole and set.union(*(covered(3 + 7 * (p + 1)) for p in range(suffix_dedup.SPLIT_INTO))) == whole
+
+
 # embeddings
 
 
