@@ -88,9 +88,9 @@ def safe_relative_path(path: Column) -> Column:
 
 def loopback_origin(text: Column) -> Column:
     """struct(host, port) of http://loopback-address:port, or null."""
-    pattern = r"^http://(127(?:\.\d{1,3}){3}|\[::1\]):(\d{1,5})/?$"
-    port = F.regexp_extract(text, pattern, 2).try_cast("int")
-    return F.when(port.between(1, 65535), F.struct(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"[\[\]]", "").alias("host"), port.alias("port")))
+    pattern = r"^http://(127(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}|\[::1\]|\[(?:0{1,4}:){7}0{0,3}1\]):(\d{1,5})/?$"
+    host, port = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2).try_cast("int")
+    return F.when(port.between(1, 65535), F.struct(F.when(host.startswith("["), "::1").otherwise(host).alias("host"), port.alias("port")))
 
 
 def listener(line: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from flowloom.functions.text import loopback_origin
 from flowloom.operators import connections, logs, recordings, recovery, views
 
 
@@ -75,3 +76,11 @@ def test_list_of_a_recording_without_end(spark):
     summaries = spark.sql(f"SELECT 1 AS recording_id, {at} AS started_at, CAST(NULL AS TIMESTAMP) AS ended_at, 4 AS operation_count UNION ALL SELECT 3, {at}, timestamp'2020-01-01 00:00:01', 6 UNION ALL SELECT 2, {at}, {at}, 9")
     got = [(r["recording_id"], r["duration_ms"], r["sessions"], r["operations"]) for r in views.list_recordings(entries, summaries).collect()]
     assert got == [(3, 0, 1, 6), (2, None, 0, 0), (1, None, 1, 4)]
+
+
+def test_loopback_addresses_are_addresses(spark):
+    wanted = {"http://127.0.0.1:80": ("127.0.0.1", 80), "http://127.255.0.9:1/": ("127.255.0.9", 1), "http://[::1]:9": ("::1", 9), "http://[0:0:0:0:0:0:0:1]:9": ("::1", 9)}
+    wanted |= dict.fromkeys(["http://127.999.1.1:80", "http://127.0.0.01:80", "http://128.0.0.1:80", "http://127.0.0.1:0", "http://127.0.0.1:65536", "http://[::2]:9", "https://127.0.0.1:80"])
+    df = spark.createDataFrame([(t,) for t in wanted], "t string")
+    got = {r["t"]: r["o"] and tuple(r["o"]) for r in df.select("t", loopback_origin(F.col("t")).alias("o")).collect()}
+    assert got == wanted
