@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .shared import small_batches, spark_schema, text_bytes
 
-#: Bytes of the longest word whose ids are kept, and the number of words and of token pairs kept by a worker.
-CACHED_BYTES, CACHED_WORDS, CACHED_PAIRS = 48, 600_000, 2_000_000
+#: Bytes of the longest word whose ids are kept; the number of words and of token pairs after which a worker begins anew (of words, the last time's are kept too).
+CACHED_BYTES, CACHED_WORDS, CACHED_PAIRS = 48, 120_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,17 +53,21 @@ def _plain(pattern: str) -> re.Pattern | None:
 
 
 class _Words(dict):
-    """The ids of the words met so far, packed; a new word is encoded when it is asked for."""
+    """The ids of words met of late, packed; a new word is encoded when it is asked for. Full, it begins anew, and words
+    of the last time come over when they are asked for, so that frequent ones are not encoded again."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.last = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.last.pop(piece, None)
+        if packed is None:
+            ids = self.encode(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_BYTES:
             if len(self) >= CACHED_WORDS:
+                self.last = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
