@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 
 from .shared import small_batches, spark_schema, text_bytes
 
-#: Bytes of the longest word whose ids are kept; the number of words and of token pairs after which a worker begins anew (of words, the last time's are kept too).
-CACHED_BYTES, CACHED_WORDS, CACHED_PAIRS = 48, 120_000, 250_000
+#: Bytes of the longest word whose ids are kept; the number of words after which a worker begins anew, keeping the last
+#: time's too, and of token pairs for each of these words. Fewer take less memory and more time, with the same ids.
+CACHED_BYTES, CACHED_WORDS, CACHED_PAIRS = 48, 600_000, 3
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,9 +57,9 @@ class _Words(dict):
     """The ids of words met of late, packed; a new word is encoded when it is asked for. Full, it begins anew, and words
     of the last time come over when they are asked for, so that frequent ones are not encoded again."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.last = encode, {}
+        self.encode, self.most, self.last = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.last.pop(piece, None)
@@ -66,7 +67,7 @@ class _Words(dict):
             ids = self.encode(piece.encode())
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.last = dict(self)
                 self.clear()
             self[piece] = packed
@@ -76,8 +77,8 @@ class _Words(dict):
 class ByteBPE:
     """An encoder and decoder for one vocabulary; built on the driver and sent to the workers, its size is the vocabulary's."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED_WORDS):
+        self.ranks, self.pattern, self.cached = ranks, pattern, cached
         self.token = {r: t for t, r in ranks.items()}
         self.halves = {}  # token -> the two it is merged from, or itself twice
         order = sorted(ranks.items(), key=lambda x: x[1])
@@ -108,7 +109,7 @@ class ByteBPE:
 
     def _ready(self) -> None:
         self.length = {r: len(self.token[r]) for r in self.halves}
-        self.words, self.pairs = _Words(self.word), {}
+        self.words, self.pairs = _Words(self.word, self.cached), {}
         self.plain, self.odd = _plain(self.pattern), re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
         self.split = regex.compile(self.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.find = ahocorasick.Automaton()
@@ -117,7 +118,7 @@ class ByteBPE:
         self.find.make_automaton()
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("ranks", "pattern", "token", "halves", "merged", "shorter")}
+        return {k: self.__dict__[k] for k in ("ranks", "pattern", "cached", "token", "halves", "merged", "shorter")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -166,7 +167,7 @@ class ByteBPE:
                         break
                     fits = pairs.get((last, token))
                     if fits is None:
-                        if len(pairs) >= CACHED_PAIRS:
+                        if len(pairs) >= CACHED_PAIRS * self.cached:
                             pairs.clear()
                         fits = pairs[last, token] = self._may_follow(last, token)
                     if fits:
@@ -193,15 +194,16 @@ class ByteBPE:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), cached: int = CACHED_WORDS) -> DataFrame:
     """Per row of docs: the columns of ``keep``, ids (binary, little-endian unsigned 32-bit integers) and decoded (binary).
 
     Null counts as an empty text, which has no ids. Rows are independent: one pass, no shuffle, and repeated rows give
-    repeated rows. Columns of docs outside ``keep`` are not read. A text is held whole; a batch has at most 512 rows.
+    repeated rows. Columns of docs outside ``keep`` are not read. A text is held whole; a
+    worker keeps the ids of at most twice ``cached`` words.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    coder = spark.sparkContext.broadcast(ByteBPE(ranks, pattern))
+    coder = spark.sparkContext.broadcast(ByteBPE(ranks, pattern, cached))
     schema = docs.select(*keep).schema.add("ids", "binary").add("decoded", "binary")
 
     def run(batches):

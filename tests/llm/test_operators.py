@@ -67,17 +67,15 @@ def test_byte_bpe_as_tiktoken(spark, texts):
     assert byte_bpe.byte_bpe(documents(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
-def test_byte_bpe_with_full_caches(monkeypatch):
+def test_byte_bpe_with_full_caches():
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    monkeypatch.setattr(byte_bpe, "CACHED_WORDS", 7)
-    monkeypatch.setattr(byte_bpe, "CACHED_PAIRS", 5)
-    coder, r = byte_bpe.ByteBPE(ranks, public_tokenizers.PATTERN), random.Random(5)
+    coder, r = byte_bpe.ByteBPE(ranks, public_tokenizers.PATTERN, cached=7), random.Random(5)
     words = ["".join(r.choice("abcdeÉ漢") for _ in range(r.randint(1, 9))) for _ in range(20)]
     for _ in range(200):
         t = " ".join(r.choice(words) for _ in range(12))
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode_ordinary(t)
-        assert len(coder.words) <= 7 and len(coder.words.last) <= 7 and len(coder.pairs) <= 5
+        assert len(coder.words) <= 7 and len(coder.words.last) <= 7 and len(coder.pairs) <= 21
 
 
 # histogram sort
