@@ -22,6 +22,8 @@ from flowloom.llm.toxicity import THRESHOLD, doc_bucket, toxicity, train
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle and percent of similarity of near copies.
 SHINGLE, SIMILAR = 5, 80
+#: Words that a worker keeps the ids of; an executor's workers of all stages share its memory.
+CACHED_WORDS = 120_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (base64 of little-endian unsigned 32-bit integers), ids_sha256, decoded_sha256."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    coded = byte_bpe(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), cached=CACHED_WORDS)
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.base64("ids").alias("ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
