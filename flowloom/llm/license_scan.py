@@ -26,7 +26,7 @@ from .shared import small_batches, spark_schema, stamps, text_bytes
 K = 3
 #: Words that a span may shift by from one diagonal to the next, and the share of a notice that has to be there.
 SHIFT, COVERED = 3, 0.7
-#: Positions of all templates together; they are broadcast.
+#: So many positions of all templates together are broadcast; more are joined by a shuffle.
 MOST_POSITIONS = 20_000
 
 #: Phrases whose every place counts, with their labels.
@@ -35,16 +35,23 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Notices that count when most of them is there. Public texts.
+#: Notices that count when most of them is there. Public texts; of those that differ by a word, the part around it, so that
+#: most of one is not most of another.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1"),
+    ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "zlib"),
+    ("of the gnu general public license", "gpl"),
+    ("of the gnu lesser general public license", "lgpl"),
+    ("of the gnu affero general public license", "agpl"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("commons attribution 4 0 international license", "cc-by"),
 )
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -79,8 +86,8 @@ class Templates:
                 for w in ws[p : p + K]:
                     run = run * base + number[w]
                 out.append((run, t, label, exact, p, runs))
-        if len(out) > MOST_POSITIONS or base**K >= 1 << 62:
-            raise ValueError("too many template positions to broadcast")
+        if base**K >= 1 << 62:
+            raise ValueError(f"runs of {K} numbers up to {base} do not fit a long")
         return number, out
 
 
@@ -116,15 +123,18 @@ def runs_of(docs: DataFrame, number: dict[bytes, int], text: str, keep: tuple[st
 
 
 def license_spans(docs: DataFrame, templates: Templates = Templates(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each span found, and one with nulls for a row of docs without any: _row (a number for the row of
-    docs), the columns of keep, n_words, label, exact (a phrase), first_word, last_word (of the span), covered (0 to 1).
+    """One row for each span, with nulls if it does not count, and one with nulls for a row of docs without votes: _row (a
+    number for the row of docs), the columns of keep, n_words, label, exact (a phrase), first_word, last_word (of the
+    span), covered (0 to 1).
 
     Null texts count as empty; repeated rows are scanned each by itself. Texts may be of any length; what is grouped
-    are a text's votes, which are few. Names that begin with ``_`` are taken.
+    are a text's votes, which are few. Templates that share words each get their own spans; of votes at one place all
+    count. An empty table gives no rows; names that begin with ``_`` are taken, other columns are not read.
     """
     spark = docs.sparkSession
     number, positions = templates.rows()
-    spots = F.broadcast(spark.createDataFrame(positions, spark_schema(_run="long", tpl="int", label="string", exact="boolean", _tpos="int", _runs_all="int")))
+    spots = spark.createDataFrame(positions, spark_schema(_run="long", tpl="int", label="string", exact="boolean", _tpos="int", _runs_all="int"))
+    spots = F.broadcast(spots) if len(positions) <= MOST_POSITIONS else spots.hint("merge")
     # a row without runs keeps one null place
     found = runs_of(docs, number, text, keep).withColumn("_hit", F.explode_outer(F.arrays_zip("_places", "_runs")))
     by = ["_row", *keep, "n_words"]
