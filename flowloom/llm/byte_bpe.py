@@ -198,7 +198,7 @@ def byte_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     """Per row of docs: the columns of ``keep``, ids (binary, little-endian unsigned 32-bit integers) and decoded (binary).
 
     Null counts as an empty text, which has no ids. Rows are independent: one pass, no shuffle, and repeated rows give
-    repeated rows. Columns of docs outside ``keep`` are not read. A text is held whole; a
+    repeated rows. An empty table stays empty. Columns of docs outside ``keep`` are not read. A text is held whole; a
     worker keeps the ids of at most twice ``cached`` words.
     """
     spark = docs.sparkSession

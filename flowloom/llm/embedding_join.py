@@ -131,7 +131,8 @@ def embedding_join(df: DataFrame, least: float, vector: str = "embedding", ident
     """vec_id, n_links, component_id, kept of every row of df: rows of cosine ``least`` (over 0) or more are linked.
 
     Vectors that are null, zero or empty, or hold null or non-finite components, link with nothing; neither do vectors
-    of different lengths. Equal vectors are one class from the start. component_id is the smallest id that links lead
+    of different lengths. A pair at the bound itself is linked, by its cosine in double precision. Equal vectors are one
+    class from the start (by 64 bits of their hash). component_id is the smallest id that links lead
     to; a null id stays null unless a linked row has one, and is never kept. An empty table stays empty; columns of df
     other than the two are not read.
     """

@@ -81,9 +81,12 @@ def find_borders(df: DataFrame, key: str, size: str, shards: int, tolerance: flo
 def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int, tolerance: float = 0.0005) -> DataFrame:
     """df with size long, shard int (0 to shards - 1) and slot long (from 0 without gaps in each shard).
 
-    ``key`` is a long in [0, 2**62); rows of one key stay in one shard, in an order of their own if they are equal.
-    Sizes null count as 0. An empty table stays empty; a shard may be empty if there are fewer keys than shards.
-    Columns of df other than those used are carried along through the one exchange; names that begin with ``_`` are
+    ``key`` is a long in [0, 2**62); rows of one key stay in one shard, in an order of their own if they are equal. So
+    a key of the text alone keeps equal texts together, at the price of shards as large as the largest group of them;
+    a key of id and text spreads such a group, and near equal sizes hold whatever its share. Sizes null count as 0. A
+    text is one size, of any length: a shard exceeds its share by the tolerance and the rows of a key at most. An empty table stays empty;
+    a shard may be empty if there are fewer keys than shards. Columns of df named size, shard or slot are replaced (key
+    and size may read them). Columns of df other than those used are carried along through the one exchange; names that begin with ``_`` are
     taken. Without columns of texts the table is small, so it is written to the shared folder before it is probed.
     """
     slim = materialize(df.withColumn("_key", key).withColumn("size", F.coalesce(size, F.lit(0)).cast("long")))
@@ -97,7 +100,8 @@ def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int, tole
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("shard") + 1)
     inside = (F.col("_key") - pick(starts)).cast("double") / pick(widths).cast("double")
     fine = F.greatest(F.lit(0), F.least(F.lit((1 << 40) - 1), F.floor(inside * F.lit(float(1 << 40))))).cast("long")
-    ordered = running_sum(sharded.withColumn("_fine", fine), ["shard"], ["_fine", "_key", *[c for c in df.columns if not c.startswith("_")]], F.col("_fine"), F.lit(1), "slot", cells, 40)
+    ties = [n for n, t in df.dtypes if not n.startswith("_") and n not in ("shard", "slot") and "map<" not in t and t != "variant"]  # what can be ordered
+    ordered = running_sum(sharded.withColumn("_fine", fine), ["shard"], ["_fine", "_key", *ties], F.col("_fine"), F.lit(1), "slot", cells, 40)
     return ordered.withColumn("slot", F.col("slot").cast("long")).drop("_key", "_fine")
 
 

@@ -152,13 +152,14 @@ class Forest:
             a, b = a[apart], b[apart]
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node long, component long (its smallest node) of every node that stands in ``edges`` (a long, b long).
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected components in MapReduce and beyond"):
     each keeps at most as many edges as there were, all that a step needs is a group's minimum, which partial
     aggregation finds, and the number of rounds grows with the logarithm of the longest path. Each round is written
-    to the shared folder. Edges of a node to itself count as a node without links.
+    to the shared folder. Edges of a node to itself count as a node without links. There is no limit of rounds: a round
+    that changes an edge lowers the smaller end of one or drops one, so the rounds end.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         large = star(both(now)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = star(down).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
@@ -181,6 +182,4 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if sums == seen:
             break
         seen = sums
-    else:
-        raise RuntimeError("connected components did not settle")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

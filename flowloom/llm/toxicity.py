@@ -201,7 +201,9 @@ class _Bags:
 def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with ``out``, the score (0 to 1) of its whole text; null counts as empty, an empty text scores the bias alone.
 
-    One pass, no shuffle: every row by itself, so repeated rows score the same. A column named ``out`` is replaced.
+    One pass, no shuffle: every row by itself, so repeated rows score the same, and so do texts of the same words (a score
+    has no ties to break). Texts of any length are scored whole. An empty table stays empty, with the column. A column
+    named ``out`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -83,7 +83,7 @@ def test_byte_bpe_with_full_caches():
 
 def test_histogram_shards(spark, texts):
     every = texts * 3
-    docs = documents(spark, every).drop("size", "shard")
+    docs = documents(spark, every).withColumn("slot", F.lit("s")).withColumn("more", F.create_map(F.lit("k"), F.col("doc_id")))
     t = F.coalesce("text", F.lit(""))
     rows = histogram_sort.histogram_shards(docs, histogram_sort.even_key(F.col("doc_id"), t), F.octet_length(t) + 16, 5).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(len(every)))
@@ -107,7 +107,7 @@ def test_histogram_borders_are_exact(spark):
 
 
 def test_shards_of_empty_and_written(spark, tmp_path):
-    empty = documents(spark, []).drop("size", "shard")
+    empty = documents(spark, [])
     assert histogram_sort.histogram_shards(empty, histogram_sort.even_key(F.col("doc_id")), F.lit(1), 4).count() == 0
     docs = documents(spark, ["a"] * 20).select("doc_id", "text")
     sharded = histogram_sort.histogram_shards(docs, histogram_sort.even_key(F.col("doc_id")), F.lit(16), 2)
@@ -219,6 +219,19 @@ def test_license_places(spark, texts):
     assert license_scan.license_spans(documents(spark, [])).count() == 0
 
 
+def test_licenses_that_differ_by_a_word(spark, monkeypatch):
+    creative = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    gnu = "under the terms of the GNU{} General Public License as published by the Free Software Foundation"
+    want = {0: "cc-by", 1: "cc-by-sa", 3: "gpl", 4: "lgpl", 5: "agpl", 6: "bsd-3"}
+    every = [creative.format(""), creative.format("-ShareAlike"), creative.format("-NonCommercial"), gnu.format(""), gnu.format(" Lesser"), gnu.format(" Affero"), next(t for t, label in license_scan.NOTICES if label == "bsd-3")]
+    spans = lambda: sorted(map(tuple, license_scan.license_spans(documents(spark, every)).where("label is not null").select("doc_id", "label", "first_word", "last_word").collect()))
+    got = spans()
+    assert {(i, label) for i, label, _, _ in got} == set(want.items())
+    monkeypatch.setattr(license_scan, "MOST_POSITIONS", 10)  # joined by a shuffle
+    assert spans() == got
+
+
+
 # n-gram join
 
 
