@@ -93,12 +93,27 @@ def loopback_origin(text: Column) -> Column:
     return F.when(port.between(1, 65535), F.struct(F.when(host.startswith("["), "::1").otherwise(host).alias("host"), port.alias("port")))
 
 
+def _six(raw: Column) -> Column:
+    """The text of an IPv6 address from a socket table's four little-endian words: the first of the longest runs of two or
+    more zeros is left out, an IPv4 address inside is written as one."""
+    byte = lambda n: F.substring(raw, 8 * (n // 4) + 7 - 2 * (n % 4), 2)
+    groups = [F.lower(F.conv(F.concat(byte(2 * i), byte(2 * i + 1)), 16, 16)) for i in range(8)]
+    whole, short = F.concat_ws(":", *groups), None
+    for n in range(8, 1, -1):
+        pattern = f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+        cut = F.regexp_replace(whole, pattern, "$1::$2")
+        short = F.when(whole.rlike(pattern), cut) if short is None else short.when(whole.rlike(pattern), cut)
+    four = F.concat_ws(".", *[F.conv(byte(i), 16, 10) for i in range(12, 16)])
+    return F.when(whole.startswith("0:0:0:0:0:ffff:"), F.concat(F.lit("::ffff:"), four)).otherwise(short.otherwise(whole))
+
+
 def listener(line: Column) -> Column:
-    """struct(address, port, inode) of a listening IPv4 socket's line in a kernel socket table, or null."""
+    """struct(address, port, inode) of a listening IPv4 or IPv6 socket's line in a kernel socket table, or null."""
     f = F.split(F.trim(line), r"\s+")
     local = F.split(F.get(f, F.lit(1)), ":")
     raw = F.get(local, F.lit(0))
     octet = lambda i: F.conv(F.substring(raw, i, 2), 16, 10)  # noqa: E731  little-endian
-    address = F.concat_ws(".", octet(7), octet(5), octet(3), octet(1))
-    shape = line.rlike(r"^\s*\d+: [0-9A-F]{8}:[0-9A-F]{4} ") & (F.get(f, F.lit(3)) == "0A")
+    four = F.concat_ws(".", octet(7), octet(5), octet(3), octet(1))
+    shape = line.rlike(r"^\s*\d+: (?:[0-9A-F]{8}|[0-9A-F]{32}):[0-9A-F]{4} ") & (F.get(f, F.lit(3)) == "0A") & (F.size(f) > 9)
+    address = F.when(F.length(raw) == 8, four).otherwise(_six(raw))
     return F.when(shape, F.struct(address.alias("address"), F.conv(F.get(local, F.lit(1)), 16, 10).cast("int").alias("port"), F.get(f, F.lit(9)).cast("long").alias("inode")))

@@ -198,9 +198,12 @@ def illegal_transitions(df: DataFrame, part: list[str], order: str, state: str,
     return steps.join(allowed, ["from_state", "to_state"], "left_anti").select(*part, order, "from_state", "to_state")
 
 
-def stop_reason(fatal: Column, user: Column, source_done: Column, deadline: Column, attached: Column) -> Column:
-    """First that holds; an attached target never counts as done."""
-    return F.when(fatal, "fatal").when(user, "user").when(source_done & ~attached, "source_completed").when(deadline, "deadline")
+def stop_reason(fatal: Column, user: Column, source_done: Column, deadline: Column, attached: Column, policy: Column | None = None) -> Column:
+    """First that holds and that the policy lets end a run (source_completion, explicit_stop, deadline; by default
+    any_terminal_condition). A failure or a user's wish ends any run; an attached target never counts as done."""
+    policy = F.lit("any_terminal_condition") if policy is None else policy
+    may = lambda name: policy.isin(name, "any_terminal_condition")
+    return F.when(fatal, "fatal").when(user, "user").when(source_done & ~attached & may("source_completion"), "source_completed").when(deadline & may("deadline"), "deadline")
 
 
 def worst_status(df: DataFrame, group: list[str], status: str, required: str) -> DataFrame:
