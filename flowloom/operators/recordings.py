@@ -70,6 +70,15 @@ def merge_sessions(df: DataFrame, parent: list[str], order: list[str], start: st
     return df.groupBy(*parent).agg(F.min(start).alias("started_at"), F.max(end).alias("ended_at"), F.coalesce(other, F.lit(complete)).alias("status"), F.count("*").alias("sessions"))
 
 
+def merged_evidence(df: DataFrame, parent: list[str], order: str, evidence: str) -> DataFrame:
+    """parent, ordinal (from 0), item: the evidence of a parent's sessions one after the other, a row for each item, so that
+    no list grows with the sessions. Null and empty lists have no items; only the lists' lengths are put in order."""
+    before = W.partitionBy(*parent).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    based = df.select(*parent, order, F.coalesce(F.array_size(evidence), F.lit(0)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    items = df.select(*parent, order, F.posexplode(evidence).alias("_at", "item")).join(based.drop("_n"), [*parent, order])
+    return items.select(*parent, (F.col("_base") + F.col("_at")).cast("long").alias("ordinal"), "item")
+
+
 def epoch_chain(df: DataFrame, parent: list[str], ordinal: str, ident: str, previous: str, following: str, active: str) -> DataFrame:
     """parent, violations: ordinals that skip, links that are not mutual, and another number of active epochs than one.
     Epochs of one ordinal stand in the order of their ids."""

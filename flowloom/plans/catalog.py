@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from flowloom.plans import connection_queries, exchange_queries, log_queries, recorder_queries, recording_queries, recovery_queries, view_queries, wire_queries  # noqa: E402,F401
+from flowloom.plans import connection_queries, continuation_queries, exchange_queries, log_queries, recorder_queries, recording_queries, recovery_queries, view_queries, wire_queries  # noqa: E402,F401

@@ -65,6 +65,13 @@ def merge_sessions(spark, sf_dir):
     return r.merge_sessions(table(spark, sf_dir, "orders").withColumn("at", F.unix_micros(F.col("o_orderdate").cast("timestamp"))), ["o_custkey"], ["o_orderkey"], "at", "at", "o_orderstatus", "F")
 
 
+@query("""WITH i AS (SELECT o_custkey, o_orderkey, unnest(range(0, o_orderkey % 3)) AS k, o_orderstatus, o_orderpriority FROM orders)
+    SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, k) - 1 AS ordinal, CASE k WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS item FROM i""")
+def merged_evidence(spark, sf_dir):
+    found = F.when(F.col("o_orderkey") % 6 != 0, F.slice(F.array("o_orderstatus", "o_orderpriority"), F.lit(1), (F.col("o_orderkey") % 3).cast("int")))
+    return r.merged_evidence(table(spark, sf_dir, "orders").withColumn("found", found), ["o_custkey"], "o_orderkey", "found")
+
+
 @query("""WITH a AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS published, o_orderstatus = 'P' AS incomplete, o_orderkey % 5 <> 0 AS present, CASE o_orderpriority WHEN '1-URGENT' THEN 'published' WHEN '2-HIGH' THEN 'in_progress' WHEN '3-MEDIUM' THEN 'recoverable' END AS advisory FROM orders)
     SELECT o_orderkey, CASE WHEN published AND incomplete THEN 'inconsistent' WHEN published THEN 'published' WHEN present AND advisory = 'published' THEN 'inconsistent' WHEN present THEN 'recoverable'
         WHEN advisory IS NOT NULL THEN advisory ELSE 'in_progress' END AS status FROM a""")
