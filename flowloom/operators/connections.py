@@ -118,7 +118,7 @@ def overlaps(df: DataFrame, part: list[str], position: str, start: str, length:
     return met.select(*part, "first", "second", F.when(F.col("_s") == F.col("_t"), "conflicting").otherwise("partial").alias("kind"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int, how: str = "inner") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
     """Rows whose closed intervals meet, by buckets of ``width``: each side is put into the buckets it touches, buckets
     are joined by equality, and a pair counts in the first bucket that both touch."""
     (a, b), (c, d) = left_span, right_span
@@ -126,11 +126,24 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_span: t
     l_ = left.where(F.col(a) <= F.col(b)).withColumn("_bucket", F.explode(F.sequence(low(a), low(b))))
     r_ = right.where(F.col(c) <= F.col(d)).withColumn("_bucket", F.explode(F.sequence(low(c), low(d))))
     meet = (F.col(c) <= F.col(b)) & (F.col(d) >= F.col(a))
-    if how == "left_semi":
-        return l_.join(r_.select(*on, "_bucket", c, d), [*on, "_bucket"]).where(meet).select(left.columns).distinct()
     return l_.join(r_, [*on, "_bucket"]).where(meet & (F.col("_bucket") == F.greatest(low(a), low(c)))).drop("_bucket")
 
 
+def points_inside(points: DataFrame, spans: DataFrame, on: list[str], at: str, span: tuple[str, str], width: int) -> DataFrame:
+    """Rows of points whose ``at`` lies in one or more of the closed spans with the same ``on``: of all spans that start
+    no later, the furthest end is at or after it. Furthest ends are carried from bucket to bucket of ``width``, and rows
+    are ordered inside one bucket only, so no pairs are made and no key is one task."""
+    start, end = span
+    mine = points.where(F.col(at).isNotNull()).select(*on, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_row"))
+    theirs = spans.where(F.col(start) <= F.col(end)).select(*on, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.col(end).alias("_end"))
+    line = mine.unionByName(theirs, allowMissingColumns=True).withColumn("_bucket", F.expr(f"_at div {width}"))
+    before = F.max("_furthest").over(W.partitionBy(*on).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    base = line.groupBy(*on, "_bucket").agg(F.max("_end").alias("_furthest")).select(*on, "_bucket", before.alias("_base"))
+    inside = F.max("_end").over(W.partitionBy(*on, "_bucket").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow))
+    told = line.withColumn("_inside", inside).where("_side = 1").join(base, [*on, "_bucket"])
+    return told.where(F.greatest("_inside", "_base") >= F.col("_at")).select("_row.*")
+
+
 def counts_below(points: DataFrame, values: DataFrame, on: list[str], at: str, value: str, width: int) -> DataFrame:
     """points with ``below``: how many rows of values with the same ``on`` are less than ``at``. Buckets of ``width`` are
     counted and summed up, and rows are ranked inside one bucket only, so no pairs are made and no key is one task."""
@@ -165,8 +178,8 @@ def classify_losses(spans: DataFrame, losses: DataFrame, conn: list[str], width:
 
 def affected_by_terminal_loss(events: DataFrame, losses: DataFrame, conn: list[str], clock: str, ns: str, width: int) -> DataFrame:
     """Connections with an event inside a terminal loss of its clock, or any event while a loss of another clock exists."""
-    points = events.withColumn("_to", F.col(ns))
-    inside = interval_join(points, losses.withColumnRenamed("clock", clock), [clock], (ns, "_to"), ("start_ns", "end_ns"), width, "left_semi").select(*conn)
+    points, spans = events.select(*conn, clock, ns), losses.withColumnRenamed("clock", clock)
+    inside = points_inside(points, spans, [clock], ns, ("start_ns", "end_ns"), width).select(*conn)
     clocks = losses.select(F.col("clock").alias("_clock")).distinct().agg(F.count("*").alias("_n"), F.min("_clock").alias("_one"))
     other = events.select(*conn, clock).distinct().join(F.broadcast(clocks)).where((F.col("_n") > 1) | ((F.col("_n") == 1) & (F.col(clock) != F.col("_one")))).select(*conn)
     return inside.union(other).distinct()

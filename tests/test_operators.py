@@ -1,4 +1,6 @@
+import random
 import struct
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,39 @@ def test_terminal_loss_of_another_clock(spark):
     assert rows(connections.affected_by_terminal_loss(events, losses, ["conn"], "clock", "ns", 10), "conn") == [("a",), ("b",)]
 
 
+def test_points_inside_any_span(spark):
+    rng = random.Random(5)
+    points = [(rng.choice("abc"), i, rng.randint(-300, 300)) for i in range(300)] + [("a", 300, None), (None, 301, 0), ("d", 302, 0), ("e", 303, 5 * 10**11), ("e", 304, 10**12 + 1), ("f", 305, 5)]
+    spans = [(rng.choice("abc"), s, s + rng.choice([-5, 0, 1, 9, 40])) for s in (rng.randint(-300, 300) for _ in range(60))]
+    spans += [("a", None, 500), ("a", -400, None), (None, -9, 9), ("e", -(10**12), 10**12), ("f", 5, 5)]  # one over 2 * 10**11 buckets
+    want = [i for k, i, x in points if x is not None and k and any(k == o and None not in (s, t) and s <= x <= t for o, s, t in spans)]
+    a, b = spark.createDataFrame(points, "k string, i int, x bigint"), spark.createDataFrame(spans, "k string, s bigint, t bigint")
+    assert [r[0] for r in rows(connections.points_inside(a, b, ["k"], "x", ("s", "t"), 10), "i")] == want
+    assert 50 < len(want) < 290
+    assert connections.points_inside(a, b.limit(0), ["k"], "x", ("s", "t"), 10).count() == 0
+
+
+def test_terminal_losses_longer_than_any_bucket(spark):
+    events = spark.createDataFrame([("a", "x", 5), ("b", "x", 2 * 10**12), ("c", "x", -1)], "conn string, clock string, ns bigint")
+    losses = spark.createDataFrame([("x", 0, 10**12)], "clock string, start_ns bigint, end_ns bigint")
+    assert rows(connections.affected_by_terminal_loss(events, losses, ["conn"], "clock", "ns", 10), "conn") == [("a",)]
+
+
+def test_terminal_losses_make_no_pairs(spark):
+    n = 400_000  # all in one bucket: every second event lies in half of the losses on average, the others in none
+    events = spark.range(n).selectExpr("id AS conn", "'x' AS clock", "if(id % 2 = 0, 2 * id, -1 - id) AS ns")
+    losses = spark.range(n).selectExpr("'x' AS clock", "2 * id AS start_ns", f"{2 * n} AS end_ns")
+    spark.sparkContext.setJobGroup("no pairs", "points in spans", True)
+    late = threading.Timer(90, spark.sparkContext.cancelJobGroup, ["no pairs"])
+    late.start()
+    try:
+        got = connections.affected_by_terminal_loss(events, losses, ["conn"], "clock", "ns", 10**7).agg(F.count("*"), F.sum("conn"), F.max(F.col("conn") % 2)).first()
+    finally:
+        late.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tuple(got) == (n // 2, sum(range(0, n, 2)), 0)
+
+
 def test_queue_and_rank_pairing_differ_on_an_orphan(spark):
     df = spark.createDataFrame([(1, 1, "response"), (1, 2, "request"), (1, 3, "response")], "c bigint, n bigint, kind string")
     assert rows(exchanges.pair_fifo(df, "c", "n", "kind"), "state", "request", "response") == [("orphan_response", None, 1), ("paired", 2, 3)]
